@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trustweave.llm.common import table
+from trustweave.llm.html_text import extract
 from trustweave.llm.quality import classify
 from trustweave.llm.query_registry import query
 from trustweave.llm.url_filter import Rule, filter_urls
@@ -48,3 +49,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
