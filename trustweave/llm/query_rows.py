@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trustweave.llm.common import table
 from trustweave.llm.html_text import extract
+from trustweave.llm.packing import pack_documents
 from trustweave.llm.quality import classify
 from trustweave.llm.query_registry import query
 from trustweave.llm.url_filter import Rule, filter_urls
 
+TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = (
     Rule("block", "com", "/en/"),
     Rule("allow", "example.com", "/en/7"),
@@ -54,3 +57,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
