@@ -168,15 +168,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id", rows_p
     )
     order = Window.partitionBy("length", "_group").orderBy(id_col, "piece", "start", "ids_crc32")
     ranked = rest.withColumn("_rank", F.row_number().over(order) - 1).join(ahead, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_ahead"))
-    ranked = ranked.select(*pieces.columns, "_rank")
+    names = pieces.columns
+    ranked = ranked.select(*names, "_rank")
+
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks, sequences, offsets = table.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             at = np.searchsorted(keys, length << 40 | rank, side="right") - 1
-            columns = [batch.column(c) for c in pieces.columns] + [pa.array(sequences[at] + rank - ranks[at], pa.int64()), pa.array(offsets[at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*pieces.columns, "sequence_id", "offset"])
+            columns = [batch.column(c) for c in names] + [pa.array(sequences[at] + rank - ranks[at], pa.int64()), pa.array(offsets[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return full.unionByName(ranked.mapInArrow(place, schema))
