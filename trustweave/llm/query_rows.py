@@ -11,6 +11,7 @@ from trustweave.llm.packing import pack_documents
 from trustweave.llm.quality import classify
 from trustweave.llm.query_registry import query
 from trustweave.llm.url_filter import Rule, filter_urls
+from trustweave.llm.winnowing import compare_with_edit_and_next
 
 TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = (
@@ -62,3 +63,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query("op1_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edit_and_next(table(spark, sf_dir, "documents"))
