@@ -64,3 +64,14 @@ def total_bytes(df: DataFrame, column: str) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id is not among ``ids`` (one column, best from a stored table); null ids stay."""
+    gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    return df.join(small(gone), df[id_col] == F.col("_gone"), "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated
+from trustweave.llm.line_dedup import repeated_lines
 from trustweave.llm.query_registry import query
 
 
@@ -42,3 +43,35 @@ from trustweave.llm.query_registry import query
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH split_lines AS (
+        SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS line_text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    ), found AS (
+        SELECT doc_id, line, list_filter(regexp_split_to_array(line_text, '\s+'), lambda x: x <> '') AS w FROM split_lines
+    ), long_lines AS (
+        SELECT doc_id, line, {'d': doc_id, 'l': line} AS place, w, array_to_string(w, ' ') AS words FROM found WHERE len(w) >= 4
+    ), firsts AS (
+        SELECT words, any_value(w) AS w, min(place) AS first FROM long_lines GROUP BY words
+    ), less AS (
+        SELECT first, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ') AS v
+        FROM (SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 10)
+    ), replaced AS (
+        SELECT b.first, min(a.first) AS keep FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.first < b.first GROUP BY b.first
+    ), inserted AS (
+        SELECT greatest(l.first, f.first) AS first, min(least(l.first, f.first)) AS keep
+        FROM less l JOIN firsts f ON l.v = f.words AND len(f.w) >= 10 GROUP BY greatest(l.first, f.first)
+    ), near AS (
+        SELECT first, min(keep) AS keep FROM (SELECT * FROM replaced UNION ALL SELECT * FROM inserted) GROUP BY first
+    )
+    SELECT l.doc_id, CAST(l.line AS INTEGER) AS line, f.first.d AS keep_doc, CAST(f.first.l AS INTEGER) AS keep_line, 0 AS distance
+    FROM long_lines l JOIN firsts f USING (words) WHERE l.place > f.first
+    UNION ALL
+    SELECT first.d, CAST(first.l AS INTEGER), keep.d, CAST(keep.l AS INTEGER), 1 FROM near
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "documents"))
