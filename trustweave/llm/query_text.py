@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trustweave.llm.chunk_dedup import repeated_spans
 from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated
 from trustweave.llm.line_dedup import repeated_lines
@@ -75,3 +76,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
