@@ -9,6 +9,7 @@ from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated
 from trustweave.llm.line_dedup import repeated_lines
 from trustweave.llm.query_registry import query
+from trustweave.llm.suffix_dedup import cut_repeats, summary
 
 
 @query(
@@ -81,3 +82,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(cut_repeats(table(spark, sf_dir, "documents")))
