@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trustweave.llm.chunk_dedup import repeated_spans
 from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated
+from trustweave.llm.jaccard_join import similar_groups
 from trustweave.llm.line_dedup import repeated_lines
 from trustweave.llm.query_registry import query
 from trustweave.llm.suffix_dedup import cut_repeats, summary
@@ -87,3 +88,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(cut_repeats(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op10_jaccard_join",
+    r"""
+    WITH RECURSIVE ws AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, list_distinct(CASE
+            WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM ws
+    ), grams AS (
+        SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+    ), common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS shared
+        FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+        GROUP BY a.doc_id, b.doc_id
+    ), links AS (
+        SELECT a, b FROM common WHERE 100 * shared >= 90 * (x + y - shared)
+    ), reach(a, b) AS (
+        SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    )
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = doc_id), doc_id)) AS component_id
+    FROM sets
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), shingle=3, percent=90)
