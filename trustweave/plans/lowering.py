@@ -76,14 +76,14 @@ class Graph:
         return bound.where(column).select(*names)
 
     def derive(self, cls: str, derived: dict[str, X.Node], df: DataFrame | None = None) -> DataFrame:
-        """The rows with derived columns added."""
+        """The rows with derived columns added; one of an old name takes its place."""
         df = self.frame(cls) if df is None else df
         names = df.columns
         added = []
         for name, n in derived.items():
             df, column = self.bind(cls, n, df)
             added.append(column.alias(name))
-        return df.select(*names, *added)
+        return df.select(*[c for c in names if c not in derived], *added)
 
     def select(self, cls: str, columns: dict[str, X.Node], condition: X.Node | None = None) -> DataFrame:
         """Only the given columns, of the rows for which the condition is true."""
