@@ -17,7 +17,7 @@ def text_of(df: DataFrame, name: str) -> Column:
 
 def clean(c: Column) -> Column:
     """Trimmed, with each run of white space as one space."""
-    return F.regexp_replace(F.trim(c), r"\s+", " ")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def hyphens(c: Column) -> Column:
