@@ -135,9 +135,9 @@ def distance(a: str, b: str) -> int:
 
 
 def suggest(name: str, known: Iterable[str]) -> str | None:
-    """The nearest known name, unless it is further than a third of the letters."""
+    """The nearest known name, unless it is further than two edits or a third of the letters."""
     best = min(known, key=lambda k: (distance(name.lower(), k.lower()), k), default=None)
-    return best if best is not None and distance(name.lower(), best.lower()) <= max(1, len(name) // 3) else None
+    return best if best is not None and distance(name.lower(), best.lower()) <= max(2, len(name) // 3) else None
 
 
 def check_names(spec: Spec, wanted: Iterable[tuple[str, str | None]]) -> list[str]:
