@@ -119,9 +119,12 @@ def open_buckets(fresh_bucket: np.ndarray, kept: np.ndarray, doc: np.ndarray) ->
     return kept & (low < high)[which]
 
 
-#: Rows on the way to a bucket's task: packed columns, or stretches (kind 0) of a document that are known to go.
-SENT = "target int, doc long, numbers array<long>, packed binary"
-FOUND = "doc long, kind byte, numbers array<long>"
+#: Packed columns on the way to a bucket's task, or, if it is known that they go, numbers on the way home.
+SENT = "target int, known boolean, packed binary"
+#: Numbers on the way to their documents' task: those that go (kind 0), and those to be refined (kind 1).
+FOUND = "home int, kind byte, packed binary"
+#: One row for each document and kind.
+GATHERED = "doc long, kind byte, numbers array<long>"
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -158,55 +161,81 @@ def by_doc(doc: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(doc[begin], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(number))
 
 
+def dealt(target: np.ndarray, n: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Targets in use, and the columns packed for each."""
+    order = np.argsort(target, kind="stable")
+    edges = np.searchsorted(target[order], np.arange(n + 1)).tolist()
+    columns = tuple(c[order].view(np.uint64) for c in columns)
+    used = [t for t in range(n) if edges[t] < edges[t + 1]]
+    return used, [pack(*(c[edges[t] : edges[t + 1]] for c in columns)) for t in used]
+
+
+def home_of(doc: np.ndarray, n: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
+def rows(schema: str, target: list[int], middle, packed: list[bytes]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    kind = pa.bool_() if names[1] == "known" else pa.int8()
+    return pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([middle] * len(target), kind), pa.array(packed, pa.binary())], names=names)
+
+
 def send(bucket: np.ndarray, content: np.ndarray, doc: np.ndarray, number: np.ndarray, n: int, name: str) -> Iterator[pa.RecordBatch]:
-    """Rows of SENT for a batch: what is known to go, by document, and the rest packed by target."""
+    """Rows of SENT for a batch: what is known to go, by its document's home, and the rest by bucket."""
     order, gone, _ = settle(bucket, content, doc)
-    bucket, content, doc, number = (x[order] for x in (bucket, content, doc, number))
+    bucket, content, doc, number = (x[order] for x in (bucket, content, doc, number.astype(np.int64)))
     if gone.any():
-        ids, numbers = by_doc(doc[gone], number[gone])
-        targets = pa.array((mix(ids.to_numpy().astype(np.uint64)) % np.uint64(n)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([targets, ids, numbers, pa.nulls(len(ids), pa.binary())], names=[f.split()[0] for f in SENT.split(", ")])
+        used, packed = dealt(home_of(doc[gone], n), n, doc[gone], number[gone])
+        yield rows(SENT, used, True, packed)
     bucket, content, doc, number = (x[~gone] for x in (bucket, content, doc, number))
+    order = np.lexsort((number, doc))
+    bucket, content, doc, number = (x[order] for x in (bucket, content, doc, number))
     target = (bucket % np.uint64(n)).astype(np.int32)
-    order = np.lexsort((number, doc, target))
-    target, bucket, content, doc, number = (x[order] for x in (target, bucket, content, doc, number))
-    edges = np.searchsorted(target, np.arange(n + 1))
-    used = [t for t in range(n) if edges[t] < edges[t + 1]]
-    shown = (bucket >> np.uint64(32), content >> np.uint64(16), doc.view(np.uint64), number.astype(np.uint64)) if name == "stretch" else (bucket, doc.view(np.uint64), number.astype(np.uint64))
-    packed = [pack(*(c[edges[t] : edges[t + 1]] for c in shown)) for t in used]
-    empty = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *empty, pa.array(packed, pa.binary())], names=[f.split()[0] for f in SENT.split(", ")])
+    shown = (bucket >> np.uint64(32), content >> np.uint64(16)) if name == "stretch" else (bucket,)
+    used, packed = dealt(target, n, *shown, doc, number)
+    yield rows(SENT, used, False, packed)
 
 
-def receive(name: str):
-    """The task of a target: settles its buckets, and returns what goes (kind 0) and what must be refined (kind 1)."""
+def receive(name: str, n: int):
+    """The task of some targets: settles their buckets, and returns what goes and what must be refined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts: dict[int, list] = {}
         for batch in batches:
-            known = batch.column(1).is_valid()
-            ready = batch.filter(known)
-            if ready.num_rows:
-                yield found(ready.column(1), ready.column(2), 0)
-            parts += [unpack(p) for p in batch.column(3).to_pylist() if p is not None]
-        if not parts:
-            return
-        columns = [np.concatenate([p[k] for p in parts]) for k in range(len(parts[0]))]
-        del parts
-        bucket, doc, number = columns[0], columns[-2].view(np.int64), columns[-1]
-        order, gone, fresh = settle(bucket, columns[1] if name == "stretch" else np.zeros(len(bucket), np.uint8), doc)
-        doc, number = doc[order], number[order]
-        if gone.any():
-            yield found(*by_doc(doc[gone], number[gone]), 0)
-        if name == "stretch" and (again := open_buckets(fresh, ~gone, doc)).any():
-            yield found(*by_doc(doc[again], number[again]), 1)
-
-    def found(doc: pa.Array, numbers: pa.Array, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(doc), kind, np.int8)), numbers], names=["doc", "kind", "numbers"])
+            target, known, packed = (c.to_pylist() for c in batch.columns)
+            ready = [(t, p) for t, k, p in zip(target, known, packed, strict=True) if k]
+            yield rows(FOUND, [t for t, _ in ready], 0, [p for _, p in ready])
+            for t, k, p in zip(target, known, packed, strict=True):
+                if not k:
+                    parts.setdefault(t, []).append(unpack(p))
+        for some in parts.values():
+            columns = [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))]
+            bucket, doc, number = columns[0], columns[-2].view(np.int64), columns[-1].view(np.int64)
+            order, gone, fresh = settle(bucket, columns[1] if name == "stretch" else np.zeros(len(bucket), np.uint8), doc)
+            doc, number = doc[order], number[order]
+            if gone.any():
+                used, packed = dealt(home_of(doc[gone], n), n, doc[gone], number[gone])
+                yield rows(FOUND, used, 0, packed)
+            if name == "stretch" and (again := open_buckets(fresh, ~gone, doc)).any():
+                used, packed = dealt(home_of(doc[again], n), n, doc[again], number[again])
+                yield rows(FOUND, used, 1, packed)
 
     return run
 
 
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers that have come home: one row for each document and kind."""
+    held: dict[int, list] = {0: [], 1: []}
+    for batch in batches:
+        for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            held[kind].append(unpack(packed))
+    for kind, parts in held.items():
+        if parts:
+            doc, number = (np.concatenate([p[k] for p in parts]).view(np.int64) for k in (0, 1))
+            ids, numbers = by_doc(doc, number)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), kind, np.int8)), numbers], names=["doc", "kind", "numbers"])
+
+
 def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df``'s id (as doc) and text with ``stretches`` and ``windows``, the numbers of those that go, by :func:`cut`."""
     docs = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
@@ -256,13 +285,15 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             key, doc, at = (np.concatenate([h[k] for h in held]) for k in range(3))
             yield from send(key, np.zeros(len(key), np.uint8), doc, at, n, "window")
 
-    marked = stored(docs.mapInArrow(first_pass, SENT).repartition(n, "target").mapInArrow(receive("stretch"), FOUND))
-    gather = lambda d, name: d.groupBy("doc").agg(F.flatten(F.collect_list("numbers")).alias(name))
-    again = gather(marked.where("kind = 1"), "numbers")
-    sent = docs.join(again, "doc", "left").select("doc", "text", "numbers").mapInArrow(second_pass, SENT)
-    windows = gather(sent.repartition(n, "target").mapInArrow(receive("window"), FOUND), "windows")
-    whole = gather(marked.where("kind = 0"), "stretches")
-    return docs.join(whole, "doc", "left").join(windows, "doc", "left")
+    def settled(sent: DataFrame, name: str) -> DataFrame:
+        found = sent.repartition(n, "target").mapInArrow(receive(name, n), FOUND)
+        return found.repartition(n, "home").mapInArrow(gather, GATHERED)
+
+    of_kind = lambda d, k, name: d.where(F.col("kind") == k).select("doc", F.col("numbers").alias(name))
+    marked = stored(settled(docs.mapInArrow(first_pass, SENT), "stretch"))
+    again = docs.join(of_kind(marked, 1, "numbers"), "doc", "left").select("doc", "text", "numbers")
+    windows = settled(again.mapInArrow(second_pass, SENT), "window")
+    return docs.join(of_kind(marked, 0, "stretches"), "doc", "left").join(of_kind(windows, 0, "windows"), "doc", "left")
 
 
 @dataclass
