@@ -66,15 +66,21 @@ def contaminated(
     item_seeds = items.withColumn("_s", F.explode(seeds(F.col("_iw"), masks))).select(
         "_item", "_iw", F.expr(f"cast(_s div {n} as int)").alias("_j"), seed_hash(F.col("_iw"), "_s", masks).alias("_h")
     )
-    if item_seeds.limit(max_broadcast + 1).count() <= max_broadcast:
-        item_seeds = F.broadcast(item_seeds)
-    doc_words = docs.select(F.col(id_col).alias("_doc"), words_of(F.col(text_col)).alias("_w"))
-    doc_seeds = doc_words.where(F.size("_w") >= min(map(len, masks))).withColumn("_s", F.explode(seeds(F.col("_w"), masks)))
-    hits = doc_seeds.select("_doc", "_w", F.expr(f"cast(_s div {n} as int)").alias("_i"), seed_hash(F.col("_w"), "_s", masks).alias("_h")).join(item_seeds, "_h")
+    doc_words = docs.select(F.col(id_col).alias("_doc"), words_of(F.col(text_col)).alias("_w")).where(F.size("_w") >= min(map(len, masks)))
+    at = F.expr(f"cast(_s div {n} as int)").alias("_i")
+    doc_seeds = doc_words.withColumn("_s", F.explode(seeds(F.col("_w"), masks)))
     # Where the item would begin in the document, and the words of the document beside those of the item.
     begin = F.col("_i") - F.col("_j")
-    beside = F.slice("_w", F.greatest(begin, F.lit(0)) + 1, F.size("_iw") + F.least(begin, F.lit(0)))
-    aligned = hits.select("_doc", "_item", "_iw", begin.alias("_at"), beside.alias("_dw")).dropDuplicates(["_doc", "_item", "_at"])
+    if item_seeds.limit(max_broadcast + 1).count() <= max_broadcast:
+        hits = doc_seeds.select("_doc", "_w", at, seed_hash(F.col("_w"), "_s", masks).alias("_h")).join(F.broadcast(item_seeds), "_h")
+        hits = hits.select("_doc", "_item", "_iw", "_w", begin.alias("_at"))
+    else:  # only the seeds themselves are shuffled; words join the places that they point to
+        bare = doc_seeds.select("_doc", at, seed_hash(F.col("_w"), "_s", masks).alias("_h"))
+        places = bare.join(item_seeds.select("_item", "_j", "_h"), "_h").select("_doc", "_item", begin.alias("_at")).distinct()
+        whole = doc_words.select(F.col("_doc").alias("_same_doc"), "_w")
+        hits = places.join(whole, F.col("_doc").eqNullSafe(F.col("_same_doc"))).join(items, "_item").select("_doc", "_item", "_iw", "_w", "_at")
+    beside = F.slice("_w", F.greatest("_at", F.lit(0)) + 1, F.size("_iw") + F.least("_at", F.lit(0)))
+    aligned = hits.select("_doc", "_item", "_iw", "_at", beside.alias("_dw")).dropDuplicates(["_doc", "_item", "_at"])
     shift = F.greatest(-F.col("_at"), F.lit(0))
     same = F.transform("_iw", lambda w, j: F.when(w == F.get(F.col("_dw"), j - shift), 1).otherwise(0))
     width = F.least(F.size("_iw"), F.lit(window))
