@@ -86,9 +86,20 @@ class Graph:
         return df.select(*[c for c in names if c not in derived], *added)
 
     def select(self, cls: str, columns: dict[str, X.Node], condition: X.Node | None = None) -> DataFrame:
-        """Only the given columns, of the rows for which the condition is true."""
-        df = self.frame(cls) if condition is None else self.where(cls, condition)
-        return self.derive(cls, columns, df).select(*columns)
+        """Only the given columns, of the rows for which the condition is true; both share the joins of their paths."""
+        df, tests = self.frame(cls), []
+        parts = condition.operands if isinstance(condition, X.BoolExpr) and condition.op == "and" else [] if condition is None else [condition]
+        for part in parts:
+            inner = part.operands[0] if isinstance(part, X.BoolExpr) and part.op == "not" else part
+            if isinstance(inner, (X.RelationAny, X.RelationAll)):
+                df = self.where(cls, part, df)
+            else:
+                tests.append(part)
+        df, kept = self._all(cls, tuple(tests), df)
+        df, made = self._all(cls, tuple(columns.values()), df)
+        for test in kept:
+            df = df.where(test)
+        return df.select(*[c.alias(name) for name, c in zip(columns, made, strict=True)])
 
     def bind(self, cls: str, n: X.Node, df: DataFrame) -> tuple[DataFrame, Column]:
         """``df`` with what the expression needs joined to it, and the expression as a Column of that."""
@@ -172,13 +183,16 @@ class Graph:
             held = self._fresh("derived")
             df = df.withColumn(held, column)
         for i, name in enumerate(n.slots[:-1]):
-            df, at, held = self._hop(df, at, name, held, n.slots[i + 1])
+            # Named by its path, so that an expression which holds a path twice joins it once.
+            df, at, held = self._hop(df, at, name, held, n.slots[i + 1], "_".join(["_hop", n.cls, *n.slots[: i + 2]]))
         return df, F.col(f"`{held}`")
 
-    def _hop(self, df: DataFrame, cls: str, name: str, held: str, following: str) -> tuple[DataFrame, str, str]:
+    def _hop(self, df: DataFrame, cls: str, name: str, held: str, following: str, new: str) -> tuple[DataFrame, str, str]:
         slot = self.spec.slot(cls, name)
-        new = self._fresh("hop")
+        there_already = new in df.columns
         if isinstance(slot.reference, PolymorphicRef):
+            if there_already:
+                return df, slot.reference.candidates[0], new
             found = []
             for target in slot.reference.candidates:
                 there, key, value = self.frame(target), self._fresh("key"), self._fresh("hop")
@@ -186,6 +200,8 @@ class Graph:
                 found.append(F.when(F.col(key).isNotNull(), F.struct(F.col(value).alias("v"))))
             return df.withColumn(new, F.coalesce(*found)["v"]), slot.reference.candidates[0], new
         if isinstance(slot.reference, DiscriminatedRef):
+            if there_already:
+                return df, slot.reference.targets[0], new
             there = self.tagged(slot.reference.targets, following)
             kind, key = self._fresh("kind"), self._fresh("key")
             there = there.select(F.col("entity_class").alias(kind), F.col("entity_key").alias(key), F.col("value").alias(new))
@@ -193,6 +209,8 @@ class Graph:
         target = slot.range
         if not self.spec.is_class(target):
             raise ModelError(f"slot {name!r} of {cls!r} leads nowhere")
+        if there_already:
+            return df, target, new
         key = self._fresh("key")
         there = self.frame(target)
         return df.join(there.select(F.col(self.key(target)).alias(key), F.col(following).alias(new)), df[held] == F.col(key), "left"), target, new
