@@ -1,9 +1,7 @@
-"""What the corpus operators share: bounded Arrow batches and tables kept in the cluster's shared folder."""
+"""What the corpus operators share: bounded Arrow batches, sizes, and joins with small tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustweave.sources.shared import stored  # noqa: F401
+
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``max_bytes`` of ``column``; one longer text stands alone."""
@@ -27,32 +27,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         yield batch.slice(begin)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one in plain local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file:" + tempfile.mkdtemp(prefix="trustweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives a lost executor.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trustweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
