@@ -38,9 +38,9 @@ SPAN, Q = 50, 20
 C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of text in a batch, whose places must fit 24 bits, and of one part of a longer text.
-BATCH, PART = 3 << 20, 2 << 20
+BATCH, PART = 2 << 20, 1 << 20
 #: Anchors of all batches so far that a task sends at once.
-FLUSH = 600_000
+FLUSH = 400_000
 
 
 @dataclass
