@@ -203,7 +203,7 @@ def correction_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "beta_trust",
-    "SELECT l_returnflag AS source, 1.0 + count_if(l_tax < 0.04) AS alpha, 1.0 + count_if(NOT l_tax < 0.04) AS beta, round((1.0 + count_if(l_tax < 0.04)) / (2.0 + count(*)), 9) AS trust FROM lineitem GROUP BY 1",
+    "SELECT l_returnflag AS source, CAST(1 + count_if(l_tax < 0.04) AS DOUBLE) AS alpha, CAST(1 + count_if(NOT l_tax < 0.04) AS DOUBLE) AS beta, round((1.0 + count_if(l_tax < 0.04)) / (2.0 + count(*)), 9) AS trust FROM lineitem GROUP BY 1",
 )
 def beta_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("source"), (F.col("l_tax") < 0.04).alias("won"))
