@@ -52,7 +52,7 @@ def prefix(c: Column, n: int) -> Column:
 
 def sorted_tokens(c: Column) -> Column:
     """Words in lower case and alphabetical order."""
-    return F.array_join(F.array_sort(F.split(F.lower(clean(c)), " ")), " ")
+    return F.array_join(F.sort_array(F.split(F.lower(clean(c)), " ")), " ")
 
 
 def similarity(a: Column, b: Column) -> Column:

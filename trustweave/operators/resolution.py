@@ -36,9 +36,11 @@ def default_row_id(df: DataFrame) -> Column:
     return F.coalesce(F.col("canonical_id"), named) if "canonical_id" in df.columns else named
 
 
-def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], cross_source: bool = True) -> DataFrame:
+def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], cross_source: bool = True, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
     """Pairs (a, b, score), a < b, of rows with equal non-null block keys; a null score is no pair.
 
+    ``near`` is a cheap condition that pairs must meet before they are scored.
+
     An equi-join on the block, which Spark plans and, where a block is frequent, splits; pairs exist only where a score
     does, so the result is as large as the matches.
     """
@@ -48,6 +50,8 @@ def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str],
     condition = (of("a")("_block") == of("b")("_block")) & (of("a")("row_id") < of("b")("row_id"))
     if cross_source:
         condition &= of("a")("source") != of("b")("source")
+    if near is not None:
+        condition &= near(of("a"), of("b"))
     return a.join(b, condition).select(of("a")("row_id").alias("a"), of("b")("row_id").alias("b"), score(of("a"), of("b")).alias("score")).where("score IS NOT NULL")
 
 
@@ -55,13 +59,16 @@ def score_titles(rows: DataFrame, title: str = "title", year: str = "year", weig
     """Works: same first letters of the title, years within the tolerance where both are known."""
 
     def score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        likeness = text.token_sort_similarity(a(title), b(title))
         apart = F.abs(a(year) - b(year))
-        both = apart.isNotNull()
-        near = likeness * weight + (1 - apart / max(tolerance, 1)) * (1 - weight)
-        return F.when(both & (apart > tolerance), F.lit(None)).when(both, near).otherwise(likeness * weight)
+        bonus = F.coalesce((1 - apart / max(tolerance, 1)) * (1 - weight), F.lit(0.0))
+        return text.similarity(a("_tokens"), b("_tokens")) * weight + bonus
+
+    def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return F.coalesce(F.abs(a(year) - b(year)) <= tolerance, F.lit(True))
 
-    return block_pairs(rows, text.prefix(F.col(title), letters), score)
+    # Words are sorted once for each row, not for each pair; rows without a title have no block.
+    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(title)))
+    return block_pairs(known, text.prefix(F.col(title), letters), score, near=near)
 
 
 def score_persons(
@@ -71,11 +78,12 @@ def score_persons(
     certain = block_pairs(rows, F.nullif(F.trim(shared_id), F.lit("")), lambda a, b: F.lit(1.0))
 
     def score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        likeness = text.token_sort_similarity(a(name), b(name))
+        likeness = text.similarity(a("_tokens"), b("_tokens"))
         apart = F.abs(text.year_of(a(born)) - text.year_of(b(born)))
         return F.when((likeness >= least) & F.coalesce(apart <= years, F.lit(True)), likeness)
 
-    likely = block_pairs(rows, F.nullif(text.prefix(F.col(name), letters), F.lit("")), score)
+    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(name)))
+    likely = block_pairs(known, F.nullif(text.prefix(F.col(name), letters), F.lit("")), score)
     return certain.union(likely).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
