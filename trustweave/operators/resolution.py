@@ -36,18 +36,25 @@ def default_row_id(df: DataFrame) -> Column:
     return F.coalesce(F.col("canonical_id"), named) if "canonical_id" in df.columns else named
 
 
-def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], cross_source: bool = True, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None) -> DataFrame:
+def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], cross_source: bool = True, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None, part_rows: int = 500) -> DataFrame:
     """Pairs (a, b, score), a < b, of rows with equal non-null block keys; a null score is no pair.
 
     ``near`` is a cheap condition that pairs must meet before they are scored.
 
-    An equi-join on the block, which Spark plans and, where a block is frequent, splits; pairs exist only where a score
-    does, so the result is as large as the matches.
+    An equi-join on the block. The rows of a block of over ``part_rows`` are dealt over several parts, and each part
+    meets the whole block, so that a key that all rows share is no single task; no pair is lost. Pairs exist only where
+    a score does, so the result is as large as the matches.
     """
     keyed = rows.withColumn("_block", block).where(F.col("_block").isNotNull())
-    a, b = keyed.alias("a"), keyed.alias("b")
+    large = keyed.groupBy("_block").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    sized = keyed.join(F.broadcast(large), "_block", "left")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda part: sized.withColumn("_part", part).drop("_parts").repartition(n, "_block", "_part")
+    a = deal(F.pmod(F.xxhash64(F.col("row_id")), parts).cast("int")).alias("a")
+    b = deal(F.explode(F.sequence(F.lit(0), parts - 1))).alias("b").hint("merge")
     of = lambda side: lambda name: F.col(f"{side}.{name}")
-    condition = (of("a")("_block") == of("b")("_block")) & (of("a")("row_id") < of("b")("row_id"))
+    condition = (of("a")("_block") == of("b")("_block")) & (of("a")("_part") == of("b")("_part")) & (of("a")("row_id") < of("b")("row_id"))
     if cross_source:
         condition &= of("a")("source") != of("b")("source")
     if near is not None:
@@ -79,11 +86,14 @@ def score_persons(
 
     def score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         likeness = text.similarity(a("_tokens"), b("_tokens"))
-        apart = F.abs(text.year_of(a(born)) - text.year_of(b(born)))
-        return F.when((likeness >= least) & F.coalesce(apart <= years, F.lit(True)), likeness)
+        return F.when(likeness >= least, likeness)
 
-    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(name)))
-    likely = block_pairs(known, F.nullif(text.prefix(F.col(name), letters), F.lit("")), score)
+    def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return F.coalesce(F.abs(a("_born") - b("_born")) <= years, F.lit(True))
+
+    # Words are sorted and years read once for each row, not for each pair.
+    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(name))).withColumn("_born", text.year_of(F.col(born)))
+    likely = block_pairs(known, F.nullif(text.prefix(F.col(name), letters), F.lit("")), score, near=near)
     return certain.union(likely).groupBy("a", "b").agg(F.max("score").alias("score"))
 
 

@@ -169,7 +169,7 @@ def er_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def er_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shared identifier is certain; else a like name and a near year of birth."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 400").selectExpr(
+    rows = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS row_id", "c_mktsegment AS source", "c_name AS name", "string(1950 + c_custkey % 7) AS birthdate", "CASE WHEN c_custkey % 50 = 0 THEN concat('Q', c_custkey % 200) END AS wikidata_id"
     )
     return R.score_persons(rows, least=0.75).select("a", "b", F.round("score", 6).alias("score"))
