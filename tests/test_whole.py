@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from trustweave.functions import text
 from trustweave.operators import resolution as R
 from trustweave.plans.catalog import QUERIES
 
@@ -45,3 +46,35 @@ def test_large_blocks_lose_no_pair(spark):
     data = rows.collect()
     want = [(a["row_id"], b["row_id"], 1.0) for a, b in itertools.combinations(data, 2) if a["k"] is not None and a["k"] == b["k"] and a["source"] != b["source"]]
     assert pairs(7) == pairs(500) == sorted(want)
+
+
+def test_edit_distance():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert text.edit_distance(a, b) == edits(a, b)
+
+
+def test_documents_are_compared_whole(spark, tmp_path):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["river", "stone", "élan", "мир", "cloud", "amber"]) + str(rng.randrange(9)) for _ in range(n))
+    start, body = "Alike in all of the first forty characters. ", words(40)
+    texts = [start + body, start + words(40), start + body + " end", start + words(9), "Other " + body, None, start + body.replace("мир", "war")]
+    rows = [(i, t, "ab"[i % 2] if i < 6 else "c", 3) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    ordered = lambda t: " ".join(sorted(t.lower().split()))
+    want = {
+        (i, j): likeness(ordered(a), ordered(b)) * 0.7 + 0.3
+        for (i, a, s, _), (j, b, z, _) in itertools.combinations(rows, 2)
+        if a and b and s != z and a[:5] == b[:5]
+    }
+    got = {(r["a"], r["b"]): r["score"] for r in QUERIES["er_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(v, 6) for k, v in want.items()} and got[0, 1] < 0.9
+    links = {k for k, v in want.items() if v >= 0.9}
+    label = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["row_id"]: r["cluster"] for r in QUERIES["er_clusters"](spark, str(tmp_path)).collect()} == label
+    merges = {(2 * i, 2 * i + 1) for i in range(len(rows))}
+    assert {tuple(r) for r in QUERIES["er_decisions"](spark, str(tmp_path)).collect()} == {(a, b) for a, b in links | merges if (a + b) % 5}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Dashes that are written for a hyphen: figure, en, em, minus, non-breaking. Fixed values.
 DASHES = "‐‑‒–—−"
@@ -61,6 +63,50 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Inserted, deleted and replaced characters, by bit vectors (Myers, Hyyrö), a whole column of the table at a time."""
+    if a == b:
+        return 0
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    a, b, n = a[n:], b[n:], 0
+    while n < min(len(a), len(b)) and a[-1 - n] == b[-1 - n]:
+        n += 1
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every, last, found = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for c in b:
+        same = places.get(c, 0)
+        keep = same | down
+        same = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(same | up)), up & same
+        found += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | (every & ~(keep | more)), more & keep
+    return found
+
+
+@F.pandas_udf(IntegerType())
+def long_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+#: So that a filter on the score doesn't compute it once more.
+long_edit_distance = long_edit_distance.asNondeterministic()
+
+
+def long_similarity(a: Column, b: Column) -> Column:
+    """:func:`similarity` for texts of thousands of characters."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return 1 - long_edit_distance(a, b) / F.greatest(longer, F.lit(1))
+
+
 def token_sort_similarity(a: Column, b: Column) -> Column:
     """Similarity whatever the order of words."""
     return similarity(sorted_tokens(a), sorted_tokens(b))

@@ -62,19 +62,29 @@ def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str],
     return a.join(b, condition).select(of("a")("row_id").alias("a"), of("b")("row_id").alias("b"), score(of("a"), of("b")).alias("score")).where("score IS NOT NULL")
 
 
-def score_titles(rows: DataFrame, title: str = "title", year: str = "year", weight: float = 0.7, tolerance: int = 1, letters: int = 5) -> DataFrame:
-    """Works: same first letters of the title, years within the tolerance where both are known."""
+def score_titles(rows: DataFrame, title: str = "title", year: str = "year", weight: float = 0.7, tolerance: int = 1, letters: int = 5, long: bool = False, least: float | None = None) -> DataFrame:
+    """Works: same first letters of the title, years within the tolerance where both are known.
+
+    ``long`` titles are whole texts, compared in Python workers. With ``least``, pairs that can't score as much, by their
+    lengths and years, may be missing.
+    """
+
+    def bonus(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return F.coalesce((1 - F.abs(a(year) - b(year)) / max(tolerance, 1)) * (1 - weight), F.lit(0.0))
 
     def score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        apart = F.abs(a(year) - b(year))
-        bonus = F.coalesce((1 - apart / max(tolerance, 1)) * (1 - weight), F.lit(0.0))
-        return text.similarity(a("_tokens"), b("_tokens")) * weight + bonus
+        alike = text.long_similarity if long else text.similarity
+        return alike(a("_tokens"), b("_tokens")) * weight + bonus(a, b)
 
     def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        return F.coalesce(F.abs(a(year) - b(year)) <= tolerance, F.lit(True))
+        close = F.coalesce(F.abs(a(year) - b(year)) <= tolerance, F.lit(True))
+        if least is None:
+            return close
+        longer = F.greatest(a("_length"), b("_length"), F.lit(1))
+        return close & ((1 - F.abs(a("_length") - b("_length")) / longer) * weight + bonus(a, b) >= least - 1e-9)
 
     # Words are sorted once for each row, not for each pair; rows without a title have no block.
-    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(title)))
+    known = rows.withColumn("_tokens", text.sorted_tokens(F.col(title))).withColumn("_length", F.length("_tokens"))
     return block_pairs(known, text.prefix(F.col(title), letters), score, near=near)
 
 

@@ -88,8 +88,8 @@ def since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.since(table(spark, sf_dir, "events"), "ts", "2024-01-02 00:00:00").select("event_id", "ts")
 
 
-# Entity resolution over documents: titles are their first 40 characters, of which ASCII stays (SQL's edit distance
-# counts bytes), sources their source.
+# Entity resolution over documents, compared by their whole texts; sources are their source. The SQL judges the first 40
+# characters, of which ASCII stays, and so gives other scores.
 
 TITLES = """titles AS (
     SELECT doc_id AS row_id, source, regexp_replace(substr(text, 1, 40), '[^ -~]', ' ', 'g') AS title, CAST(n_chars % 3 AS INTEGER) AS year FROM documents
@@ -107,12 +107,12 @@ TITLES = """titles AS (
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("row_id"), "source", F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", " ").alias("title"), (F.col("n_chars") % 3).cast("int").alias("year"))
+    return docs.select(F.col("doc_id").alias("row_id"), "source", F.col("text").alias("title"), (F.col("n_chars") % 3).cast("int").alias("year"))
 
 
 @query("er_pairs", f"WITH {TITLES} SELECT a, b, round(score, 6) AS score FROM scored")
 def er_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.score_titles(_titles(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
+    return R.score_titles(_titles(spark, sf_dir), long=True).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -125,7 +125,7 @@ def er_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def er_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _titles(spark, sf_dir)
-    return R.cluster(rows, R.decide(R.score_titles(rows), 0.9))
+    return R.cluster(rows, R.decide(R.score_titles(rows, long=True, least=0.9), 0.9))
 
 
 @query(
@@ -139,7 +139,7 @@ def er_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def er_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced merges are added and forced splits taken away."""
     rows = _titles(spark, sf_dir)
-    pairs = R.score_titles(rows)
+    pairs = R.score_titles(rows, long=True, least=0.9)
     merges = rows.where("row_id < 20").select((2 * F.col("row_id")).alias("a"), (2 * F.col("row_id") + 1).alias("b"))
     splits = pairs.select("a", "b").union(merges).where("(a + b) % 5 = 0")
     return R.decide(pairs, 0.9, merges, splits)
