@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from trustweave.functions import text
+from trustweave.operators import quality as Q
 from trustweave.operators import resolution as R
 from trustweave.plans.catalog import QUERIES
 
@@ -78,3 +79,24 @@ def test_documents_are_compared_whole(spark, tmp_path):
     assert {r["row_id"]: r["cluster"] for r in QUERIES["er_clusters"](spark, str(tmp_path)).collect()} == label
     merges = {(2 * i, 2 * i + 1) for i in range(len(rows))}
     assert {tuple(r) for r in QUERIES["er_decisions"](spark, str(tmp_path)).collect()} == {(a, b) for a, b in links | merges if (a + b) % 5}
+
+
+def test_cycles_of_any_length(spark):
+    ring = lambda at, n: [(at + i, at + (i + 1) % n) for i in range(n)]
+    edges = [*ring(0, 13), *ring(100, 3), (2, 0), (12, 100), (200, 200), (200, 0), (300, 301), (301, 302), (302, 0), (100, 400), (400, 401)]
+    reach = {}
+    for s in {a for a, _ in edges}:
+        at, n = {s}, 0
+        while n < 50 and s not in reach:
+            at, n = {b for a, b in edges if a in at}, n + 1
+            if s in at:
+                reach[s] = n
+    got = {int(r["offending_pk"]): r["detail"] for r in Q.cycles(spark.createDataFrame(edges, "src_id long, dst_id long"), "N").collect()}
+    assert got == {s: f"cycle of length {n}" for s, n in reach.items()} and max(reach.values()) > 10
+    assert Q.cycles(spark.createDataFrame([(1, 2), (2, 3)], "src_id long, dst_id long"), "N").count() == 0
+
+
+def test_all_nations_are_on_cycles(spark):
+    found = QUERIES["dq_cycle"](spark, "/root/testdata/sf0.001").collect()
+    lengths = [int(r["detail"].split()[-1]) for r in found]
+    assert sorted(lengths) == [1] + [4] * 4 + [20] * 20

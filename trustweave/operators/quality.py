@@ -14,6 +14,7 @@ from trustweave import expr as X
 from trustweave.model import DirectRef, ModelError, Policy, Spec
 from trustweave.operators import trust
 from trustweave.plans.lowering import Graph
+from trustweave.sources.shared import stored
 
 OFFENDER = ("rule_id", "class_name", "slot_name", "offending_pk", "detail")
 ERROR, WARNING = "error", "warning"
@@ -108,16 +109,30 @@ def degree_outliers(edges: DataFrame, cls: str, share: float = 0.99, least: int
     return offenders(far, f"degree:{cls}", cls, None, "src_id", F.concat(F.lit("degree "), F.col("_n").cast("string")))
 
 
-def cycles(edges: DataFrame, cls: str, max_length: int = 10) -> DataFrame:
-    """Nodes that reach themselves in at most ``max_length`` steps over edges (src_id, dst_id)."""
-    step = edges.select("src_id", "dst_id").distinct()
+def cycles(edges: DataFrame, cls: str) -> DataFrame:
+    """Nodes that reach themselves over edges (src_id, dst_id), with the length of their shortest cycle, of any length.
+
+    Edges that lead from or to a dead end are peeled off until none is left. Then each node walks on, to places it
+    hasn't been to, until it meets itself or finds nothing new. Each round is a stored table.
+    """
+    step = stored(edges.where("src_id IS NOT NULL AND dst_id IS NOT NULL").select("src_id", "dst_id").distinct())
+    n, left = None, step.count()
+    while n != left:
+        on, back = step.select(F.col("src_id").alias("dst_id")).distinct(), step.select(F.col("dst_id").alias("src_id")).distinct()
+        step = stored(step.join(on, "dst_id", "left_semi").join(back, "src_id", "left_semi").select("src_id", "dst_id"))
+        n, left = left, step.count()
     hop = step.select(F.col("src_id").alias("dst_id"), F.col("dst_id").alias("_next"))
-    walk, found = step, step.where("src_id = dst_id").select("src_id", F.lit(1).alias("_length"))
-    for n in range(2, max_length + 1):
-        walk = walk.join(hop, "dst_id").select("src_id", F.col("_next").alias("dst_id")).distinct()
-        found = found.union(walk.where("src_id = dst_id").select("src_id", F.lit(n).alias("_length")))
-    per = found.groupBy("src_id").agg(F.min("_length").alias("_length"))
-    return offenders(per, f"cycle:{cls}", cls, None, "src_id", F.concat(F.lit("cycle of length "), F.col("_length").cast("string")))
+    walk, seen, length = step, step, 1
+    found = [step.where("src_id = dst_id").select("src_id", F.lit(1).alias("_length"))]
+    while True:
+        going = walk.join(walk.where("src_id = dst_id").select("src_id"), "src_id", "left_anti")
+        walk = stored(going.join(hop, "dst_id").select("src_id", F.col("_next").alias("dst_id")).distinct().join(seen, ["src_id", "dst_id"], "left_anti"))
+        if walk.limit(1).count() == 0:
+            break
+        length += 1
+        seen = stored(seen.unionByName(walk))
+        found.append(stored(walk.where("src_id = dst_id").select("src_id", F.lit(length).alias("_length"))))
+    return offenders(union_all(found), f"cycle:{cls}", cls, None, "src_id", F.concat(F.lit("cycle of length "), F.col("_length").cast("string")))
 
 
 def null_rate_trend(runs: DataFrame, cls: str, slot: str, run: str = "run_no", rise: float = 0.01) -> DataFrame:

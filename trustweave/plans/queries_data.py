@@ -279,7 +279,7 @@ def dq_degree_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dq_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS src_id", "(n_nationkey * 3 + 1) % 25 AS dst_id")
-    return Q.cycles(edges, "Nation", 6)
+    return Q.cycles(edges, "Nation")
 
 
 @query("dq_null_trend", _offenders("null_trend:Event.value", "Event", "value", "'value'", "'null share rises by ' || round(s, 6) || ' a run'", "(SELECT regr_slope(x, r) AS s FROM (SELECT user_id % 4 AS r, avg(CASE WHEN event_id % 10 < user_id % 4 THEN 1.0 ELSE 0.0 END) AS x FROM events GROUP BY 1)) WHERE s > 0.01"))
