@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trustweave.llm.common import stored, table, without
 from trustweave.llm.decontamination import contaminated
 from trustweave.llm.jaccard_join import similar_groups
-from trustweave.llm.line_dedup import remove_lines, repeated_lines
+from trustweave.llm.line_dedup import WHOLE, remove_lines, repeated_lines
 from trustweave.llm.packing import pack_documents
 from trustweave.llm.quality import classify
 
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; documents of which nothing is left go."""
-    left = remove_lines(docs, stored(repeated_lines(docs)))
+    left = remove_lines(docs, stored(repeated_lines(docs, **WHOLE)))
     return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 

@@ -2,7 +2,8 @@
 
 A line is its words: runs of characters without white space. It goes if an earlier line of the corpus (by document id,
 then line number, whether that one stays or not) equals it, or, from ``near_words`` words on, differs by one word
-inserted, deleted or replaced. Lines of fewer than ``min_words`` words stay.
+inserted, deleted or replaced. Lines of fewer than ``min_words`` words stay. The query and the pipeline settle equal
+lines of any length (``min_words`` 1) and near lines of two words or more (:data:`WHOLE`).
 
 Equal lines are settled by their 128-bit digest. Of what is left, a line within one edit of another shares one of two
 halves with it; only lines that share a half emit their variants. Variants are the line itself and the line without each
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from trustweave.llm.common import slices, small, stored
 
+#: Thresholds that leave no line out; a single word is near any other, so equality alone settles it.
+WHOLE = {"min_words": 1, "near_words": 2}
 BASE = 0x9E3779B97F4A7C15
 MASK = 2**64 - 1
 
@@ -38,6 +41,8 @@ def half_keys(words: list[str]) -> list[int]:
     """Hashes of the halves under the line's own length, and under the length of a line with one word less."""
     n, keys = len(words), []
     for m in (n, n - 1):
+        if m < 2:  # single words have no neighbours
+            continue
         c = m // 2
         keys.append(xxhash.xxh3_64_intdigest(" ".join(words[:c]), seed=2 * m))
         keys.append(xxhash.xxh3_64_intdigest(" ".join(words[n - (m - c) :]), seed=2 * m + 1))

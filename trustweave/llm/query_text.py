@@ -8,7 +8,7 @@ from trustweave.llm.chunk_dedup import repeated_spans
 from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated
 from trustweave.llm.jaccard_join import similar_groups
-from trustweave.llm.line_dedup import repeated_lines
+from trustweave.llm.line_dedup import WHOLE, repeated_lines
 from trustweave.llm.query_registry import query
 from trustweave.llm.suffix_dedup import cut_repeats, summary
 
@@ -77,7 +77,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents"), **WHOLE)
 
 
 @query("op2_substring_dedup")
