@@ -111,15 +111,14 @@ def plan(counts: np.ndarray) -> list[tuple[Pattern, int]]:
     open_by_gap: dict[int, list[tuple[Pattern, int]]] = {}
     for length in range(capacity - 1, 0, -1):
         n = int(lengths.left[length])
-        for gap in sorted(g for g in open_by_gap if g >= length):
-            while n and open_by_gap.get(gap):
-                pattern, times = open_by_gap[gap].pop()
-                used = min(n, times)
-                if times > used:
-                    open_by_gap[gap].append((pattern, times - used))
-                fits = min(gap // length, n // used)
-                open_by_gap.setdefault(gap - fits * length, []).append((pattern + (length,) * fits, used))
-                n -= used * fits
+        while n and (gap := min((g for g, group in open_by_gap.items() if group and g >= length), default=0)):
+            pattern, times = open_by_gap[gap].pop()
+            used = min(n, times)
+            if times > used:
+                open_by_gap[gap].append((pattern, times - used))
+            fits = min(gap // length, n // used)
+            open_by_gap.setdefault(gap - fits * length, []).append((pattern + (length,) * fits, used))
+            n -= used * fits
         each = capacity // length
         for size, times in ((each, n // each), (n % each, 1)):
             if size and times:
