@@ -1,6 +1,6 @@
 import numpy as np
 
-from trustweave.llm import packing
+from trustweave.llm import html_text, packing
 
 
 def test_gaps_made_on_the_way_are_filled():
@@ -23,3 +23,11 @@ def test_gaps_made_on_the_way_are_filled():
         # No sequence fits into the gap of another.
         filled = [24 - g for g, _ in gaps]
         assert len(filled) < 2 or sum(sorted(filled)[:2]) > 24
+
+
+def test_hints_after_long_attributes():
+    page = '<body><article><p>' + "body text goes on here " * 20 + '</p></article><div {} class="advert"><p>' + "buy this now today " * 20 + "</p></div></body>"
+    weights = html_text.learn()
+    long = 'style="' + "color: red; " * 90 + '"'
+    assert html_text.main_text(page.format(long), weights) == html_text.main_text(page.format(""), weights)
+    assert html_text.hinted(long + ' class="advert"') == html_text.hinted('class="advert"') is not None

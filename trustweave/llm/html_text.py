@@ -17,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -60,10 +60,14 @@ NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.
 PART = re.compile(r"[a-z]+")
 
 
-@cache
 def hinted(attributes: str) -> str | None:
-    """What the class, id or role of an element say about it."""
-    for value in NAMED.findall(attributes):
+    """What the class, id or role of an element say about it, wherever they stand among its attributes."""
+    return hint_of(tuple(NAMED.findall(attributes)))
+
+
+@lru_cache(1 << 16)
+def hint_of(values: tuple[str, ...]) -> str | None:
+    for value in values:
         for word in PART.findall(value.lower()):
             if word in HINT:
                 return HINT[word]
@@ -97,7 +101,7 @@ def tokens(html: str) -> Iterator[tuple[int, str, str, str]]:
             stack.clear()
             place = "body"
         elif name not in VOID and not m["rest"].endswith("/"):
-            kind = hinted(m["rest"][:400]) if m["rest"] else None
+            kind = hinted(m["rest"]) if m["rest"] else None
             if kind is None and name in PLACES:
                 kind = name
             if kind == "header" and place == "article":
