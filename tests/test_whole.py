@@ -1,4 +1,4 @@
-"""Queries over whole tables and values, against brute force; their SQL has narrower bounds."""
+"""Queries over whole tables and values, against brute force."""
 
 import itertools
 import random
@@ -25,16 +25,17 @@ def likeness(a, b):
 
 
 def test_persons_of_the_whole_table(spark, tmp_path):
-    keys = [*range(0, 60, 7), *range(395, 450, 3), 1200, 14950, 15000]
+    keys = [*range(0, 60, 7), *range(395, 450, 3), 600, 650, 1200, 1407, 9407, 14407, 14950, 15000]
     rows = [(k, f"Customer#{k:09d}", ["AUTO", "FURNITURE", "MACHINERY"][k % 3]) for k in keys]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
     want = {}
     for (a, an, asrc), (b, bn, bsrc) in itertools.combinations(rows, 2):
         if asrc == bsrc:
             continue
-        if a % 50 == b % 50 == 0 and a % 200 == b % 200:
+        an, bn = an[9:][::-1], bn[9:][::-1]
+        if a % 50 == b % 50 == 0 and a // 200 == b // 200:
             want[a, b] = 1.0
-        elif abs(a % 7 - b % 7) <= 1 and (like := likeness(an, bn)) >= 0.75:
+        elif abs(a % 7 - b % 7) <= 1 and an[:3] == bn[:3] and (like := likeness(an, bn)) >= 0.75:
             want[a, b] = round(like, 6)
     assert any(b >= 400 for _, b in want)
     assert {(r["a"], r["b"]): r["score"] for r in QUERIES["er_persons"](spark, str(tmp_path)).collect()} == want
@@ -54,6 +55,8 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(90))) for _ in range(2))
         assert text.edit_distance(a, b) == edits(a, b)
+        for most in (0, 5, 40, 90):
+            assert min(text.bounded_distance(a, b, most), most + 1) == min(edits(a, b), most + 1)
 
 
 def test_documents_are_compared_whole(spark, tmp_path):
@@ -63,14 +66,15 @@ def test_documents_are_compared_whole(spark, tmp_path):
     texts = [start + body, start + words(40), start + body + " end", start + words(9), "Other " + body, None, start + body.replace("мир", "war")]
     rows = [(i, t, "ab"[i % 2] if i < 6 else "c", 3) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    ordered = lambda t: " ".join(sorted(t.lower().split()))
+    plain = lambda t: "".join(x if x < "\x7f" else "?" for x in t.replace("é", "e"))
+    ordered = lambda t: " ".join(sorted(plain(t).lower().split()))
     want = {
         (i, j): likeness(ordered(a), ordered(b)) * 0.7 + 0.3
         for (i, a, s, _), (j, b, z, _) in itertools.combinations(rows, 2)
         if a and b and s != z and a[:5] == b[:5]
     }
     got = {(r["a"], r["b"]): r["score"] for r in QUERIES["er_pairs"](spark, str(tmp_path)).collect()}
-    assert got == {k: round(v, 6) for k, v in want.items()} and got[0, 1] < 0.9
+    assert got == {k: round(v, 6) for k, v in want.items() if v >= 0.9} and want[0, 1] < 0.9
     links = {k for k, v in want.items() if v >= 0.9}
     label = {i: i for i in range(len(rows))}
     for _ in rows:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,16 @@ def year_of(c: Column) -> Column:
     return F.substring(c.cast("string"), 1, 4).try_cast("int")
 
 
+#: Letters with marks, and the plain letters that stand for them. Fixed values.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def plain_letters(c: Column) -> Column:
+    """Without marks on Latin letters; whatever else is not ASCII becomes a question mark."""
+    return F.regexp_replace(F.translate(c, MARKED, PLAIN), "[^ -~]", "?")
+
+
 def prefix(c: Column, n: int) -> Column:
     return F.substring(F.lower(F.trim(c)), 1, n)
 
@@ -92,19 +104,39 @@ def edit_distance(a: str, b: str) -> int:
     return found
 
 
+def _differ(a: Counter, b: Counter) -> int:
+    """Members of one multiset, at least, that the other lacks."""
+    common = sum(min(n, b[c]) for c, n in a.items() if c in b)
+    return max(a.total(), b.total()) - common
+
+
+def bounded_distance(a: str, b: str, most: int, gram: int = 4) -> int:
+    """The edit distance if it is ``most`` at most, else some number above ``most``.
+
+    Each edit changes one letter of the multiset of letters, and ``gram`` of the multiset of runs of as many letters.
+    """
+    if abs(len(a) - len(b)) > most or _differ(Counter(a), Counter(b)) > most:
+        return most + 1
+    runs = (Counter(map("".join, zip(*(t[k:] for k in range(gram)), strict=False))) for t in (a, b))
+    if _differ(*runs) > gram * most:
+        return most + 1
+    return edit_distance(a, b)
+
+
 @F.pandas_udf(IntegerType())
-def long_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def long_edit_distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else bounded_distance(x, y, int(n)) for x, y, n in zip(a, b, most, strict=True)], dtype="Int32")
 
 
 #: So that a filter on the score doesn't compute it once more.
 long_edit_distance = long_edit_distance.asNondeterministic()
 
 
-def long_similarity(a: Column, b: Column) -> Column:
-    """:func:`similarity` for texts of thousands of characters."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return 1 - long_edit_distance(a, b) / F.greatest(longer, F.lit(1))
+def long_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """:func:`similarity` for texts of thousands of characters; below ``least`` it may be any number below that."""
+    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
+    most = F.ceil((1 - least) * longer + 1e-6).cast("int") if least > 0 else longer
+    return 1 - long_edit_distance(a, b, most) / longer
 
 
 def token_sort_similarity(a: Column, b: Column) -> Column:

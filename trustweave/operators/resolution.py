@@ -65,16 +65,19 @@ def block_pairs(rows: DataFrame, block: Column, score: Callable[[Callable[[str],
 def score_titles(rows: DataFrame, title: str = "title", year: str = "year", weight: float = 0.7, tolerance: int = 1, letters: int = 5, long: bool = False, least: float | None = None) -> DataFrame:
     """Works: same first letters of the title, years within the tolerance where both are known.
 
-    ``long`` titles are whole texts, compared in Python workers. With ``least``, pairs that can't score as much, by their
-    lengths and years, may be missing.
+    ``long`` titles are whole texts, compared in Python workers. With ``least``, there are only pairs that score as much:
+    lengths and years are compared in the join, letters and runs of letters before the edit distance.
     """
 
     def bonus(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         return F.coalesce((1 - F.abs(a(year) - b(year)) / max(tolerance, 1)) * (1 - weight), F.lit(0.0))
 
     def score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        alike = text.long_similarity if long else text.similarity
-        return alike(a("_tokens"), b("_tokens")) * weight + bonus(a, b)
+        if long:
+            alike = text.long_similarity(a("_tokens"), b("_tokens"), 0.0 if least is None else max(0.0, (least - (1 - weight)) / weight - 1e-6))
+        else:
+            alike = text.similarity(a("_tokens"), b("_tokens"))
+        return alike * weight + bonus(a, b)
 
     def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         close = F.coalesce(F.abs(a(year) - b(year)) <= tolerance, F.lit(True))
@@ -85,7 +88,8 @@ def score_titles(rows: DataFrame, title: str = "title", year: str = "year", weig
 
     # Words are sorted once for each row, not for each pair; rows without a title have no block.
     known = rows.withColumn("_tokens", text.sorted_tokens(F.col(title))).withColumn("_length", F.length("_tokens"))
-    return block_pairs(known, text.prefix(F.col(title), letters), score, near=near)
+    pairs = block_pairs(known, text.prefix(F.col(title), letters), score, near=near)
+    return pairs if least is None else pairs.where(F.col("score") >= least)
 
 
 def score_persons(
