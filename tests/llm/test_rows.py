@@ -197,8 +197,36 @@ def test_urls(spark):
     got = sorted(tuple("-" if v is None else v for v in r) for r in filter_urls(df, RULES).collect())
     assert got == [(1, "a.com:80", "/p", "-", "allow"), (1, "a.com:80", "/p", "-", "allow"), (2, "", "", "-", "allow"), (3, "x.org", "", "x.org", "block")]
     assert filter_urls(df.limit(0), RULES).count() == 0
+    assert sorted(tuple("-" if v is None else v for v in r) for r in filter_urls(df, RULES, max_rules=2).select("page_id", "host", "path", "rule", "verdict").collect()) == got
     with pytest.raises(ValueError):
-        UrlTrie(RULES, max_rules=2)
+        UrlTrie([Rule("maybe", "a", "/")])
+
+
+def test_the_longest_rule_wins_whatever_its_host():
+    rules = [Rule("block", "com", "/en/very/long/path/"), Rule("allow", "example.com", "/en/"), Rule("block", "org", "/abc"), Rule("allow", "a.org", "/a")]
+    find = UrlTrie(rules).find
+    assert find("www.example.com", "/en/very/long/path/x").verdict == "block" and find("example.com", "/en/x").verdict == "allow"
+    assert find("a.org", "/abcd").host == "a.org"  # equally long, and the longer host
+
+
+def test_joined_rules_against_the_trie(spark):
+    rng = np.random.default_rng(3)
+    part = lambda n: "".join(rng.choice(list("ab/"), n))
+    hosts = ["com", "a.com", "b.a.com", "org", "b.org"]
+    rules = [Rule(["allow", "block"][i % 2], hosts[rng.integers(5)], "/" * (i % 3 > 0) + part(rng.integers(0, 6))) for i in range(300)]
+    urls = [f"http://{hosts[rng.integers(5)]}/{part(rng.integers(0, 12))}" for _ in range(400)] + [None, "x", "http://"] + ["http://a.com/a"] * 30
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(str, filter_urls(df, rules, max_rules=10).select(*columns).collect())) == sorted(map(str, filter_urls(df, rules).select(*columns).collect()))
+
+
+def test_many_rules_of_one_host_are_looked_up():
+    import time
+
+    trie = UrlTrie([Rule("block", "com", f"/{k}") for k in range(20_000)])
+    began = time.perf_counter()
+    assert all(trie.find("a.com", f"/{k}x").path == f"/{k}" for k in range(10_000, 12_000))
+    assert time.perf_counter() - began < 1
 
 
 # Pages

@@ -215,7 +215,7 @@ def test_decontamination(spark):
     texts += [" ".join("oops" if k % 3 == 1 else w for k, w in enumerate(items[0].split()))]
     df = docs(spark, *texts)
     got = {(r["doc_id"], r["item_id"]): (r["matched_words"], r["window_words"]) for r in decontamination.contaminated(df, bench).collect()}
-    assert got == {(1, 0): (20, 20), (2, 0): (16, 20), (3, 2): (20, 20), (7, 1): (12, 12), (8, 4): (20, 20)}
+    assert got == {(1, 0): (20, 20), (2, 0): (16, 20), (3, 2): (20, 20), (4, 3): (5, 5), (7, 1): (12, 12), (8, 4): (20, 20)}
     shuffled = decontamination.contaminated(df, bench, max_broadcast=1)
     assert {(r["doc_id"], r["item_id"]) for r in shuffled.collect()} == set(got)
     assert decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
@@ -223,6 +223,40 @@ def test_decontamination(spark):
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow")
 
 
+def test_every_way_to_substitute_each_fifth_word_has_a_seed():
+    from itertools import combinations
+
+    for n in range(1, 21):
+        masks = decontamination.masks_for(n)
+        for gone in combinations(range(n), n // 5 if n >= 5 else 0):
+            hit = any(all(at + k not in gone for k, bit in enumerate(m) if bit == "1") for m in masks for at in range(n - len(m) + 1))
+            assert hit, (n, gone)
+
+
+def test_short_items(spark):
+    """Items of 1 to 12 words, whole and with each fifth word substituted, against every place of every text."""
+    rng = random.Random(14)
+    items = [text(rng, n) for n in range(1, 13)]
+    texts = []
+    for item in items:
+        w = item.split()
+        for gone in (0, len(w) // 5, len(w) // 5 + 1):
+            v = list(w)
+            for k in rng.sample(range(len(w)), min(gone, len(w))):
+                v[k] = "zz" + str(k)
+            texts.append(" ".join(["start", *v, "end"]))
+    want = set()
+    for i, t in enumerate(texts):
+        d = t.split()
+        for j, item in enumerate(items):
+            w = item.split()
+            if any(10 * sum(a == b for a, b in zip(w, d[at : at + len(w)], strict=False)) >= 8 * len(w) for at in range(len(d))):
+                want.add((i, j))
+    bench = spark.createDataFrame(list(enumerate([*items, "", "?!"])), "item_id long, text string")
+    got = decontamination.contaminated(docs(spark, *texts), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) >= 24
+
+
 # Similarity
 
 

@@ -6,13 +6,14 @@ meet those of benchmark items, and around each hit the two texts are aligned wor
 by an item if some window of ``window`` aligned words (the whole item, if it is shorter) agrees in at least
 ``similarity`` of its places.
 
-The masks keep five words each. 111011 and 1101101 together find every passage in which up to each fifth word is
-substituted. Hashes of the benchmark are broadcast while there are at most ``max_broadcast`` of them; beyond that the
-join is a shuffled one.
-
-Edge cases: null texts count as empty; items of fewer than ``min_words`` words are not searched for, and documents of
-fewer than six words hold none; repeated documents and items give a row for each pair of ids; empty tables give an
-empty result; only the named columns are read.
+:func:`masks_for` gives the masks of an item by its number of words. Those of five words, 111011 and 1101101, and for
+items of 10 to 12 words 11000111 too, find every passage in which up to each fifth word is substituted; shorter items
+have masks for each word that may differ, and items of up to four words must stand verbatim. Documents are read with
+the masks that some item needs. Hashes of the benchmark are broadcast while there are at most ``max_broadcast`` of them;
+beyond that the join is a shuffled one, in which each hash is dealt over ``salt`` tasks.
+
+Edge cases: null texts count as empty, and empty items are in no document; repeated documents and items give a row for
+each pair of ids; empty tables give an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASKS = ("111011", "1101101")
+#: The item lengths at which MASKS miss some ways to substitute each fifth word, and the mask that finds those.
+MORE = (range(10, 13), "11000111")
+
+
+def masks_for(words: int) -> tuple[str, ...]:
+    """Masks that together find an item of so many words wherever up to each fifth of them is substituted."""
+    if words < 5:
+        return ("1" * words,) if words else ()
+    if words < 8:
+        return tuple(sorted({("1" * k + "0" + "1" * (words - 1 - k)).strip("0") for k in range(words)}))
+    return (*MASKS, MORE[1]) if words in MORE[0] else MASKS
+
+
+def lengths_of(masks: tuple[str, ...]) -> list[tuple[str, list[int]]]:
+    """For each mask, the item lengths up to 12 words that need it; 13 stands for all longer ones."""
+    return [(m, [n for n in range(1, 14) if m in masks_for(n)]) for m in masks]
 
 
 def words_of(text: Column) -> Column:
@@ -51,19 +68,25 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    masks: tuple[str, ...] = MASKS,
     window: int = 20,
     similarity: float = 0.8,
-    min_words: int = 8,
     max_broadcast: int = 1_000_000,
+    salt: int = 16,
 ) -> DataFrame:
     """A row for each document and item found in it: ``id_col``, ``item_col``, matched_words, window_words.
 
-    matched_words is the number of equal words in the best window of window_words aligned words.
+    matched_words is the number of equal words in the best window of window_words aligned words. A ``similarity`` under
+    0.8 is taken, but the masks find all passages from 0.8 on only.
     """
+    items = benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_iw")).where(F.size("_iw") > 0)
+    length = F.least(F.size("_iw"), F.lit(13))
+    there = sorted(r[0] for r in items.select(length).distinct().collect())  # 13 rows at most
+    masks = tuple(sorted({m for n in there for m in masks_for(n)}, key=lambda m: (len(m), m))) or MASKS
     n = len(masks)
-    items = benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_iw")).where(F.size("_iw") >= min_words)
-    item_seeds = items.withColumn("_s", F.explode(seeds(F.col("_iw"), masks))).select(
+    which, needed = F.col("_s") % n, F.lit(False)
+    for k, (_, lengths) in enumerate(lengths_of(masks)):
+        needed |= (which == k) & length.isin(lengths)
+    item_seeds = items.withColumn("_s", F.explode(seeds(F.col("_iw"), masks))).where(needed).select(
         "_item", "_iw", F.expr(f"cast(_s div {n} as int)").alias("_j"), seed_hash(F.col("_iw"), "_s", masks).alias("_h")
     )
     doc_words = docs.select(F.col(id_col).alias("_doc"), words_of(F.col(text_col)).alias("_w")).where(F.size("_w") >= min(map(len, masks)))
@@ -75,8 +98,9 @@ def contaminated(
         hits = doc_seeds.select("_doc", "_w", at, seed_hash(F.col("_w"), "_s", masks).alias("_h")).join(F.broadcast(item_seeds), "_h")
         hits = hits.select("_doc", "_item", "_iw", "_w", begin.alias("_at"))
     else:  # only the seeds themselves are shuffled; words join the places that they point to
-        bare = doc_seeds.select("_doc", at, seed_hash(F.col("_w"), "_s", masks).alias("_h"))
-        places = bare.join(item_seeds.select("_item", "_j", "_h"), "_h").select("_doc", "_item", begin.alias("_at")).distinct()
+        bare = doc_seeds.select("_doc", at, seed_hash(F.col("_w"), "_s", masks).alias("_h"), F.pmod(F.xxhash64("_doc", "_s"), F.lit(salt)).alias("_z"))
+        spread = item_seeds.select("_item", "_j", "_h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_z"))
+        places = bare.join(spread, ["_h", "_z"]).select("_doc", "_item", begin.alias("_at")).distinct()
         whole = doc_words.select(F.col("_doc").alias("_same_doc"), "_w")
         hits = places.join(whole, F.col("_doc").eqNullSafe(F.col("_same_doc"))).join(items, "_item").select("_doc", "_item", "_iw", "_w", "_at")
     beside = F.slice("_w", F.greatest("_at", F.lit(0)) + 1, F.size("_iw") + F.least("_at", F.lit(0)))

@@ -44,7 +44,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
             ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
     ), fits AS (
         SELECT p.page_id, p.host, p.path, r.*,
-            row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST) AS place
+            row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST, length(rule_host) DESC) AS place
         FROM parts p LEFT JOIN rules r
             ON (p.host = r.rule_host OR suffix(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)
     )

@@ -6,29 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trustweave.llm.chunk_dedup import repeated_spans
 from trustweave.llm.common import table
-from trustweave.llm.decontamination import contaminated
+from trustweave.llm.decontamination import contaminated, lengths_of, masks_for
 from trustweave.llm.jaccard_join import similar_groups
 from trustweave.llm.line_dedup import WHOLE, repeated_lines
 from trustweave.llm.query_registry import query
 from trustweave.llm.suffix_dedup import cut_repeats, summary
 
 
+def _mask_rows() -> str:
+    """(m, p, lo, hi): the places of a mask's ones, and the item lengths that need it."""
+    masks = sorted({m for n in range(1, 14) for m in masks_for(n)}, key=lambda m: (len(m), m))
+    return ", ".join(f"({k}, {[i for i, bit in enumerate(m) if bit == '1']}, {lengths[0]}, {lengths[-1]})" for k, (m, lengths) in enumerate(lengths_of(tuple(masks))))
+
+
 @query(
     "op5_decontamination",
-    r"""
+    rf"""
     WITH dw AS (
-        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents
     ), iw AS (
         SELECT * FROM (
-            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
-        ) WHERE len(w) >= 8
-    ), masks(m, p) AS (VALUES (1, [0, 1, 2, 4, 5]), (2, [0, 1, 3, 4, 6])),
-    ds AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark
+        ) WHERE len(w) > 0
+    ), masks AS (
+        SELECT * FROM (VALUES {_mask_rows()}) v(m, p, lo, hi) WHERE EXISTS (SELECT 1 FROM iw WHERE least(len(w), 13) BETWEEN lo AND hi)
+    ), ds AS (
         SELECT DISTINCT doc_id, i, m, array_to_string(list_transform(p, lambda x: w[i + x]), ' ') AS h
-        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM dw), masks
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw), masks WHERE i + list_max(p) <= len(w)
     ), bs AS (
         SELECT item_id, j, m, array_to_string(list_transform(p, lambda x: w[j + x]), ' ') AS h
-        FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS j FROM iw), masks
+        FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS j FROM iw), masks WHERE j + list_max(p) <= len(w) AND least(len(w), 13) BETWEEN lo AND hi
     ), hits AS (
         SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (m, h)
     ), aligned AS (
