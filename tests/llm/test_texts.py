@@ -162,44 +162,100 @@ def test_packed_numbers_come_back():
 
 def test_one_edit():
     words = "a b c d e".split()
-    for other, near in (("a b c d e", True), ("a x c d e", True), ("a b d e", True), ("a b c c d e", True), ("b a c d e", False), ("a b c", False)):
-        assert line_dedup.within_one_edit(words, other.split()) is near and line_dedup.within_one_edit(other.split(), words) is near
+    for other, near in (("a b c d e", 0), ("a x c d e", 1), ("a b d e", 1), ("a b c c d e", 1), ("b a c d e", 2), ("a b c", 2), ("x y c d", 3)):
+        assert line_dedup.edits(words, other.split(), 3) == near == line_dedup.edits(other.split(), words, 3)
+        assert all((line_dedup.edits(words, other.split(), m) <= m) == (near <= m) for m in range(4))
 
 
-def test_line_dedup(spark):
-    rng = random.Random(8)
-    base = [text(rng, rng.choice([3, 5, 12, 30])) for _ in range(25)]
+def edited_lines(rng, n):
+    base = [text(rng, rng.choice([1, 2, 3, 5, 12, 30])) for _ in range(25)]
     made = []
-    for _ in range(150):
+    for _ in range(n):
         w = rng.choice(base).split()
-        edit = rng.choice(["same", "swap", "drop", "add", "two"])
-        if edit in ("swap", "two"):
-            w[rng.randrange(len(w))] = "zzz" + str(rng.randrange(3))
-        if edit in ("drop", "two"):
-            del w[rng.randrange(len(w))]
-        if edit == "add":
-            w.insert(rng.randrange(len(w) + 1), "extra")
+        for _ in range(rng.randrange(3)):
+            edit = rng.choice(["swap", "drop", "add"])
+            if edit == "swap" and w:
+                w[rng.randrange(len(w))] = "zzz" + str(rng.randrange(3))
+            if edit == "drop" and w:
+                del w[rng.randrange(len(w))]
+            if edit == "add":
+                w.insert(rng.randrange(len(w) + 1), "extra")
         made.append("  ".join(w))
-    texts = ["\n".join(made[i : i + 3]) for i in range(0, 150, 3)] + [None, "", "\n\n"]
-    df = docs(spark, *texts)
-    lines = [(i, k, line.split()) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= 4]
+    return made
+
+
+def brute_lines(texts, bound, near_words):
+    lines = [(i, k, line.split()) for i, t in texts for k, line in enumerate((t or "").split("\n")) if line.split()]
     want = {}
     for n, (i, k, w) in enumerate(lines):
         equal = next(((a, b) for a, b, v in lines[:n] if v == w), None)
-        near = next(((a, b) for a, b, v in lines[:n] if min(len(v), len(w)) >= 10 and line_dedup.within_one_edit(v, w)), None)
+        near = next(((a, b, far) for a, b, v in lines[:n] if min(len(v), len(w)) >= near_words and (far := word_edits(v, w)) <= bound), None)
         if equal is not None:
             want[(i, k)] = (*equal, 0)
         elif near is not None:
-            want[(i, k)] = (*near, 1)
-    gone = line_dedup.repeated_lines(df)
+            want[(i, k)] = near
+    return want
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound", [0, 1, 2])
+def test_line_dedup(spark, bound):
+    made = edited_lines(random.Random(8), 150)
+    made = [line if bound < 2 else " ".join(line.split()[:8]) for line in made]
+    texts = ["\n".join(made[i : i + 3]) for i in range(0, 150, 3)] + [None, "", "\n\n"]
+    df = docs(spark, *texts)
+    want = brute_lines(list(enumerate(texts)), bound, bound + 1)
+    assert bound == 0 or {far for *_, far in want.values()} == set(range(bound + 1))
+    gone = line_dedup.repeated_lines(df, bound=bound)
     assert {(r["doc_id"], r["line"]): tuple(r)[2:] for r in gone.collect()} == want
     left = {r["doc_id"]: r for r in line_dedup.remove_lines(df, gone).collect()}
-    assert left[0]["text"] == texts[0] and left[50]["text"] is None and left[51]["text"] == "" and left[0]["words"] == "x"
+    assert left[0]["text"] == "\n".join(line for k, line in enumerate(texts[0].split("\n")) if (0, k) not in want)
+    assert left[50]["text"] is None and left[51]["text"] == "" and left[0]["words"] == "x"
     for i, t in enumerate(texts[:50]):
         kept = [line for k, line in enumerate(t.split("\n")) if (i, k) not in want]
-        assert (i in left) == bool(kept) and (not kept or left[i]["text"] == "\n".join(kept))
-    assert line_dedup.repeated_lines(df.limit(0)).count() == 0
-    assert line_dedup.repeated_lines(df.where("doc_id = 0").union(df.where("doc_id = 0"))).count() == len([1 for i, _ in want if i == 0])
+        assert (i in left) == any(x.strip() for x in kept) or not any((i, k) in want for k in range(3))
+        assert i not in left or left[i]["text"] == "\n".join(kept)
+    assert line_dedup.repeated_lines(df.limit(0), bound=bound).count() == 0
+    twice = df.where("doc_id = 0").union(df.where("doc_id = 0"))
+    assert {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(twice, bound=bound).collect()} == {x for x in want if x[0] == 0}
+
+
+def test_both_ways_to_make_variants_agree():
+    rng = random.Random(3)
+    for _ in range(30):
+        a = text(rng, rng.randrange(2, 7)).split()
+        b = list(a)
+        b[rng.randrange(len(b))] = "other"
+        general = lambda w: {(x, lost, holes) for x, lost, holes in line_dedup.many_variants(w, 1)}
+        assert {x for x, _, h in general(a) if h} & {x for x, _, h in general(b) if h}
+        whole, less = line_dedup.variants(a)
+        assert whole in line_dedup.variants([*a, "more"])[1].tolist() and len(less) == len(a)
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two three four\nfive six seven"), (1, "one two three 4\nfive six seven"), (2, "one 2 three four"), (2, "zebra yak xenon")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): tuple(r)[2:] for r in line_dedup.repeated_lines(df).collect()}
+    assert got == {(1, 0): (None, 0, 1), (1, 1): (None, 1, 0), (2, 0): (None, 0, 1)}
+    first = spark.createDataFrame([(1, "a b c"), (None, "a b c"), (None, "a b d")], "doc_id long, text string")
+    gone = line_dedup.repeated_lines(first)
+    assert {(r["doc_id"], r["line"], r["keep_doc"]) for r in gone.collect()} >= {(1, 0, None)}
+    named = spark.createDataFrame([(None, 0)], "doc_id long, line int")
+    assert [r["doc_id"] for r in line_dedup.remove_lines(first, named).collect()] == [1]
+
+
+def test_a_line_in_every_document(spark):
+    texts = ["the same line in all of them\n" + text(random.Random(i), 9) for i in range(400)]
+    got = line_dedup.repeated_lines(docs(spark, *texts)).where("line = 0").collect()
+    assert len(got) == 399 and {(r["keep_doc"], r["keep_line"], r["distance"]) for r in got} == {(0, 0, 0)}
 
 
 # Benchmark

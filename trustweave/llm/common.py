@@ -67,3 +67,15 @@ def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose id is not among ``ids`` (one column, best from a stored table); null ids stay."""
     gone = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
     return df.join(small(gone), df[id_col] == F.col("_gone"), "left_anti")
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and, as ``count``, how many rows of ``left`` have it.
+
+    Keys with more than one in ``share`` of these rows, fewer than ``share`` by that, are broadcast, so that none of them
+    is one task; the others are shuffled. Both sides are read twice, so they had better be stored.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(count) * share > total))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) * share <= total), keys)
+    return left.join(hot, keys).unionByName(rest)

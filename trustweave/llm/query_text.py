@@ -8,7 +8,7 @@ from trustweave.llm.chunk_dedup import repeated_spans
 from trustweave.llm.common import table
 from trustweave.llm.decontamination import contaminated, lengths_of, masks_for
 from trustweave.llm.jaccard_join import similar_groups
-from trustweave.llm.line_dedup import WHOLE, repeated_lines
+from trustweave.llm.line_dedup import repeated_lines
 from trustweave.llm.query_registry import query
 from trustweave.llm.suffix_dedup import cut_repeats, summary
 
@@ -63,17 +63,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), found AS (
         SELECT doc_id, line, list_filter(regexp_split_to_array(line_text, '\s+'), lambda x: x <> '') AS w FROM split_lines
     ), long_lines AS (
-        SELECT doc_id, line, {'d': doc_id, 'l': line} AS place, w, array_to_string(w, ' ') AS words FROM found WHERE len(w) >= 4
+        SELECT doc_id, line, {'d': doc_id, 'l': line} AS place, w, array_to_string(w, ' ') AS words FROM found WHERE len(w) >= 1
     ), firsts AS (
         SELECT words, any_value(w) AS w, min(place) AS first FROM long_lines GROUP BY words
     ), less AS (
         SELECT first, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ') AS v
-        FROM (SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 10)
+        FROM (SELECT first, w, unnest(range(1, len(w) + 1)) AS i FROM firsts WHERE len(w) >= 2)
     ), replaced AS (
         SELECT b.first, min(a.first) AS keep FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.first < b.first GROUP BY b.first
     ), inserted AS (
         SELECT greatest(l.first, f.first) AS first, min(least(l.first, f.first)) AS keep
-        FROM less l JOIN firsts f ON l.v = f.words AND len(f.w) >= 10 GROUP BY greatest(l.first, f.first)
+        FROM less l JOIN firsts f ON l.v = f.words AND len(f.w) >= 2 GROUP BY greatest(l.first, f.first)
     ), near AS (
         SELECT first, min(keep) AS keep FROM (SELECT * FROM replaced UNION ALL SELECT * FROM inserted) GROUP BY first
     )
@@ -84,7 +84,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"), **WHOLE)
+    return repeated_lines(table(spark, sf_dir, "documents"))
 
 
 @query("op2_substring_dedup")
