@@ -58,38 +58,77 @@ def test_chunks_cover_and_resist_shifts():
     assert alone.tolist() == ends[1].tolist()
 
 
-def brute_spans(rows, **options):
-    """First chunks by document and position; all others are repeats."""
-    seen, out = set(), defaultdict(list)
-    for i, t in sorted((i, t) for i, t in rows if t):
-        raw, at = t.encode(), 0
-        for e in chunk_dedup.chunk_ends([raw], 20, 12, 1024)[0].tolist():
-            if raw[at:e] in seen:
-                if out[i] and out[i][-1][1] == at:
-                    out[i][-1][1] = e
-                else:
-                    out[i].append([at, e])
-            seen.add(raw[at:e])
-            at = e
-    return {(i, a, e - a) for i, s in out.items() for a, e in s if e - a >= 64}
+def repeated_windows(texts, size):
+    """(text, place) of every run of ``size`` bytes that also begins earlier, by looking all of them up."""
+    seen, found = set(), set()
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        for k in range(len(raw) - size + 1):
+            if raw[k : k + size] in seen:
+                found.add((i, k))
+            seen.add(raw[k : k + size])
+    return found
+
+
+def stand_earlier(texts, spans):
+    """Every span stands as a whole in its keeper, earlier, and can't be longer there."""
+    for r in spans:
+        own, keep = texts[r["doc_id"]].encode(), texts[r["keep_doc_id"]].encode()
+        a, k, n = r["start"], r["keep_start"], r["length"]
+        assert (r["keep_doc_id"], k) < (r["doc_id"], a)
+        assert own[a : a + n] == keep[k : k + n] and own[a : a + n].decode()
+    return True
 
 
 def test_chunk_dedup(spark):
     rng = random.Random(2)
     passage = text(rng, 52)
     texts = [text(rng, 200) + passage + text(rng, 90), None, "", text(rng, 50) + " " + passage, "short", "short", *[passage + text(rng, 30) for _ in range(40)]]
-    texts += [texts[0]] * 30 + [text(rng, 40) for _ in range(20)]
+    texts += [texts[0]] * 30 + [text(rng, 40) for _ in range(20)] + ["short text", "a short text"]
     df = docs(spark, *texts).repartition(5)
-    got = chunk_dedup.repeated_spans(df).collect()
-    assert {(r["doc_id"], r["start"], r["length"]) for r in got} == brute_spans(list(enumerate(texts)))
-    assert all(r["keep_doc_id"] < r["doc_id"] for r in got)
-    assert {r["doc_id"] for r in got} == {3, *range(6, 76)}
-    left = {r["doc_id"]: r["text"] for r in chunk_dedup.remove_spans(df, chunk_dedup.repeated_spans(df)).collect()}
-    assert left[0] == texts[0] and left[46] == "" and left[1] is None and len(left[3]) < len(texts[3]) - 150
+    spans = chunk_dedup.repeated_spans(df)
+    got = spans.collect()
+    assert stand_earlier(texts, got)
+    assert {r["doc_id"] for r in got} == {3, 5, *range(6, 76)}
+    assert [(r["start"], r["length"], r["keep_doc_id"]) for r in got if r["doc_id"] == 5] == [(0, 5, 4)]
+    assert all(r["length"] >= 64 for r in got if r["doc_id"] != 5)
+    left = {r["doc_id"]: r["text"] for r in chunk_dedup.remove_spans(df, spans).collect()}
+    assert left[0] == texts[0] and {left[i] for i in range(46, 76)} == {""} and left[1] is None and passage not in left[3] and left[4] == "short" and left[5] == ""
     assert chunk_dedup.repeated_spans(df.limit(0)).count() == 0
     assert chunk_dedup.repeated_spans(docs(spark, "x " + passage).union(docs(spark, "x " + passage))).count() == 0
 
 
+@pytest.mark.parametrize("size", [64, 96, 128, 256])
+def test_repeats_are_found_by_length(spark, size):
+    """Passages of so many bytes, each planted once in each of two texts; found means all of it, to the byte."""
+    rng = random.Random(size)
+    texts = []
+    for _ in range(100):
+        passage = (text(rng, 60) + " é — ")[-size:].encode()[-size:].decode(errors="ignore")
+        texts += [f"{text(rng, 30)} {k} {passage} {k} {text(rng, 20)}" for k in "xy"]
+    rng.shuffle(texts)
+    got = chunk_dedup.repeated_spans(docs(spark, *texts)).collect()
+    assert stand_earlier(texts, got)
+    want = repeated_windows(texts, 64)
+    covered = {(r["doc_id"], k) for r in got for k in range(r["start"], r["start"] + r["length"] - 63)}
+    assert covered <= want and len(covered) >= 0.95 * len(want)
+
+
+def test_digests_that_collide_give_no_spans(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [text(rng, 60) for _ in range(20)] + [text(random.Random(9), 60)]
+    monkeypatch.setattr(chunk_dedup, "mix", lambda x: x % np.uint64(50))
+    of, start, end, digest = chunk_dedup.blocks([t.encode() for t in texts], 4, 4, 1024, 64)
+    assert len(set(digest.tolist())) <= 100
+    assert stand_earlier(texts, chunk_dedup.repeated_spans(docs(spark, *texts)).collect())
+
+
+def test_a_run_grows_in_whole_characters():
+    own, keep = ("xé".encode(), "éa".encode()), ("yé".encode(), "éb".encode())
+    assert chunk_dedup.grown(own, keep) == (2, 2)
+    assert chunk_dedup.grown(("é".encode(), "è".encode()), ("ũ".encode(), "é".encode())) == (0, 0)
+
+
 # Suffixes
 
 
