@@ -400,6 +400,21 @@ def test_similar_groups(spark, size, percent, limit, block):
 LONG_WORDS = " ".join(f"w{i}" for i in range(30_000))
 
 
+def test_many_empty_texts_and_a_large_group(spark):
+    """Half of all texts are empty, a third are near copies that share a part, some of which don't link with the first."""
+    rng = random.Random(2)
+    w = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(200)]
+    texts = [None, "", " "] * 60
+    for _ in range(120):
+        v = list(w)
+        for _ in range(rng.randrange(1, 5)):
+            v[rng.randrange(150, 200)] = rng.choice(WORDS)
+        texts.append(" ".join(v))
+    texts += [text(rng, 40) for _ in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_groups(docs(spark, *texts), shingle=3, percent=90, group_limit=8, block=16).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 90)
+
+
 def test_similar_groups_at_the_edges(spark):
     df = docs(spark, "a b c d e f", None)
     assert jaccard_join.similar_groups(df.limit(0)).count() == 0

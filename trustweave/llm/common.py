@@ -69,7 +69,7 @@ def without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return df.join(small(gone), df[id_col] == F.col("_gone"), "left_anti")
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
     """``left`` joined with ``right``, which has each key once and, as ``count``, how many rows of ``left`` have it.
 
     Keys with more than one in ``share`` of these rows, fewer than ``share`` by that, are broadcast, so that none of them
@@ -77,5 +77,5 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, sha
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     hot = F.broadcast(right.where(F.col(count) * share > total))
-    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) * share <= total), keys)
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) * share <= total), keys, how)
     return left.join(hot, keys).unionByName(rest)

@@ -9,9 +9,10 @@ that a pair's equal part is sent by both. m follows from the size band of a docu
 a document whose partners may lie in the next band sends parts for that one as well.
 
 Equal parts meet; sizes are compared; then the sets themselves. Small groups (up to ``group_limit`` documents with one
-part) give pairs at once. Larger ones are compared in pairs of blocks, each a task of bounded size, that pass over pairs
+part) give pairs at once. In larger ones each member is held against the first; those that link with it are connected,
+and only the others still have to meet all members, in pairs of blocks, each a task of bounded size, that pass over pairs
 which are connected already and return links of a spanning forest only. Documents with equal sets count once in all
-this. No link between different sets is lost.
+this, and keys that many rows share are broadcast (:func:`join_hot`). No link between different sets is lost.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z. Shingles and sets are compared by
 64-bit hashes, classes of equal sets by 128 bits.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustweave.llm.common import partitions, slices, small, stored, total_bytes, without
+from trustweave.llm.common import join_hot, partitions, slices, small, stored, total_bytes, without
 from trustweave.llm.suffix_dedup import pack, unpack
 from trustweave.llm.winnowing import mix
 from trustweave.operators.components import components
@@ -243,15 +244,17 @@ def candidates(docs: DataFrame, size: int, bands: Bands, targets: int, group_lim
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link."""
-    own, other = (sets.select(F.col("doc").alias(name), F.col("tokens").alias(f"{name}_tokens")) for name in "ab")
+    """Those stored pairs (a, b) whose sets link."""
+    often = pairs.groupBy("a").agg(F.count("*").alias("_n"))
+    own = stored(sets.join(often, sets["doc"] == often["a"]).select("a", F.col("tokens").alias("a_tokens"), "_n"))
+    other = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (map(lambda x: np.frombuffer(x, np.uint64), batch.column(k).to_pylist()) for k in (2, 3))
             yield batch.filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())).select(["a", "b"])
 
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    return join_hot(pairs, own, ["a"], "_n", share=100).join(other, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
 
 
 def forest(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -280,18 +283,32 @@ def forest(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
 
 
 def large_group_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links within groups (key, doc) of any size, each pair of blocks of about ``block`` documents by a task of its own."""
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "key")
-    placed = sized.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = placed.select("key", "doc", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc").join(sets, "doc")
-    ordered = keyed.select("key", "i", "j", "own", "doc", "tokens").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc")
+    """Links within groups (key, doc) of any size: of each member with the first, and of those without such a link with all.
+
+    The latter meet in pairs of blocks of about ``block`` documents, each by a task of its own.
+    """
+    members = stored(members)
+    groups = stored(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")))
+    sized = stored(join_hot(members, groups, ["key"], "n"))
+    near = stored(verified(stored(sized.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()), sets, percent))
+    others = stored(sized.where("doc <> first").join(near.select(F.col("a").alias("first"), F.col("b").alias("doc")), ["first", "doc"], "left_anti").select("key", "doc"))
+    if others.limit(1).count() == 0:
+        return near
+    dealt = groups.join(others.groupBy("key").agg(F.count("*").alias("r")), "key")
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int").alias(f"{c}_blocks")
+    dealt = stored(dealt.select("key", "n", "r", blocks("n"), blocks("r")))
+    of = lambda c: F.pmod(F.xxhash64("doc"), F.col(f"{c}_blocks")).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1))
+    left = join_hot(others, dealt, ["key"], "r").select("key", of("r").alias("i"), all_of("n").alias("j"), F.lit(0).alias("own"), "doc")
+    right = join_hot(members, dealt, ["key"], "n").select("key", all_of("r").alias("i"), of("n").alias("j"), F.lit(1).alias("own"), "doc")
+    keyed = left.union(right).join(sets, "doc")
+    ordered = keyed.select("key", "i", "j", "own", "doc", "tokens").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            side = np.array([x[3] != x[1] for x in held])
+            side = np.array([x[3] == 1 for x in held])
             links = forest(np.array([x[4] for x in held]), [np.frombuffer(x[5], np.uint64) for x in held], side, percent)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -304,7 +321,7 @@ def large_group_links(members: DataFrame, sets: DataFrame, percent: int, block:
         if held:
             yield close()
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return near.union(ordered.mapInArrow(run, "a long, b long"))
 
 
 def similar_groups(
@@ -314,9 +331,10 @@ def similar_groups(
     docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text"))
     bands = Bands(percent)
     known = stored(classes(docs, shingle))
-    same = known.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
-    joined = known.join(same, ["d1", "d2"], "left")
-    rep = stored(joined.select("doc", "n", F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("rep")).alias("rep")))
+    there = known.where("n > 0 and doc is not null")
+    same = stored(there.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.count("*").alias("rows")).where("rows > 1"))
+    others = known.where("n = 0 or doc is null").select("doc", "n", F.lit(None).cast("long").alias("rep"))
+    rep = stored(join_hot(there, same, ["d1", "d2"], "rows", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")).union(others))
     # Equal sets count once, and sets so small that only equal ones can link not at all.
     passed = (F.col("rep").isNull() | (F.col("doc") != F.col("rep")) | (F.col("n") * (100 - percent) < percent)) & F.col("doc").isNotNull()
     left = without(docs.where("doc is not null"), rep.where(passed).select("doc"), "doc")
@@ -327,7 +345,9 @@ def similar_groups(
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(members.select("doc")).distinct())
     sets = set_rows(left.join(small(wanted), "doc", "left_semi"), shingle, _tokens, "doc long, tokens binary")
     sets = stored(sets.groupBy("doc").agg(F.min("tokens").alias("tokens")))
-    links = verified(pairs, sets, percent).union(large_group_links(members, sets, percent, block))
+    links = verified(pairs, sets, percent)
+    if found.where("large").limit(1).count():
+        links = links.union(large_group_links(members, sets, percent, block))
     label = components(links)
     return rep.join(label, rep["rep"] == label["node"], "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc").alias("component_id")
