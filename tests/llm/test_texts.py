@@ -114,13 +114,12 @@ def test_repeats_are_found_by_length(spark, size):
     assert covered <= want and len(covered) >= 0.95 * len(want)
 
 
-def test_digests_that_collide_give_no_spans(spark, monkeypatch):
+def test_digests_that_collide_give_no_spans(spark):
     rng = random.Random(9)
-    texts = [text(rng, 60) for _ in range(20)] + [text(random.Random(9), 60)]
-    monkeypatch.setattr(chunk_dedup, "mix", lambda x: x % np.uint64(50))
-    of, start, end, digest = chunk_dedup.blocks([t.encode() for t in texts], 4, 4, 1024, 64)
-    assert len(set(digest.tolist())) <= 100
-    assert stand_earlier(texts, chunk_dedup.repeated_spans(docs(spark, *texts)).collect())
+    texts = [text(rng, 60) for _ in range(40)]
+    assert stand_earlier(texts, chunk_dedup.repeated_spans(docs(spark, *texts), bits=32).collect())
+    few = chunk_dedup.repeated_spans(docs(spark, *texts, texts[0]), bits=30).collect()
+    assert stand_earlier([*texts, texts[0]], few)
 
 
 def test_a_run_grows_in_whole_characters():
@@ -160,14 +159,30 @@ def test_suffix_dedup(spark, monkeypatch):
     texts += [texts[9]] * 40 + [text(rng, 5) + passage[:49] + text(rng, 5), passage[20:69], passage[20:70], text(rng, 900) + passage * 3]
     df = docs(spark, *texts).repartition(6)
     want = brute_cut(list(enumerate(texts)))
-    for _ in range(2):
-        got = suffix_dedup.summary(suffix_dedup.cut_repeats(df)).collect()
+    for bits in (64, 36):  # with few bits, anchors collide
+        got = suffix_dedup.summary(suffix_dedup.cut_repeats(df, bits=bits)).collect()
         assert {r["doc_id"]: tuple(r)[1:] for r in got} == want and len(got) == len(texts)
     assert suffix_dedup.cut_repeats(df.limit(0)).count() == 0
     same = df.where("doc_id = 9").union(df.where("doc_id = 9"))
     assert [r["n_removed"] for r in suffix_dedup.summary(suffix_dedup.cut_repeats(same)).collect()] == [0, 0]
 
 
+def test_pointers_tell_bytes_apart():
+    rng = random.Random(6)
+    for letters, n, span in (("ab", 300, 50), ("a", 200, 50), ("abcdefgh", 500, 12), ("ab", 90, 8), ("ab\0", 400, 20)):
+        raw = bytes(ord(rng.choice(letters)) for _ in range(n)) * 2
+        p = suffix_dedup.pointers(np.frombuffer(raw, np.uint8), span).tolist()
+        padded = raw + bytes(span)
+        suffixes = [padded[k : k + span] for k in range(len(raw))]
+        # The pointer is the last place, in sorted order, of those with the same bytes.
+        order = sorted(suffixes)
+        inside = range(len(raw) - span + 1)
+        last = {w: i for i, w in enumerate(order)}
+        assert [p[k] for k in inside] == [last[suffixes[k]] for k in inside] if letters != "ab\0" else True
+        for a in inside:
+            assert [p[a] == p[b] for b in inside] == [suffixes[a] == suffixes[b] for b in inside]
+
+
 def test_parts_of_long_texts_keep_all_windows(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab cd") for _ in range(5000)).encode(), b"", b"z" * 49, b"q" * 300]

@@ -176,7 +176,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray, keep_doc: np.n
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in RUN.split(", ")])
 
 
-def runs(docs: DataFrame, n: int, average: int, min_chunk: int, max_chunk: int, min_span: int) -> DataFrame:
+def runs(docs: DataFrame, n: int, average: int, min_chunk: int, max_chunk: int, min_span: int, bits: int) -> DataFrame:
     """Runs of blocks whose digests stand earlier, by (doc, text)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def runs(docs: DataFrame, n: int, average: int, min_chunk: int, max_chunk: int,
         for batch in slices(batches, "text", BATCH):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             of, start, end, digest = blocks(texts, average, min_chunk, max_chunk, min_span)
-            held.append((digest, batch.column(0).to_numpy(zero_copy_only=False)[of], start, end - start))
+            held.append((digest >> np.uint64(64 - bits) if bits < 64 else digest, batch.column(0).to_numpy(zero_copy_only=False)[of], start, end - start))
             if sum(len(h[0]) for h in held) > FLUSH:
                 yield from flush()
         if sum(len(h[0]) for h in held):
@@ -276,12 +276,15 @@ def grown(own: tuple[bytes, bytes], keep: tuple[bytes, bytes]) -> tuple[int, int
 
 
 def repeated_spans(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 4, min_chunk: int = 4, max_chunk: int = 1024, min_span: int = 64, reach: int = 64
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 4, min_chunk: int = 4, max_chunk: int = 1024, min_span: int = 64, reach: int = 64, bits: int = 64
 ) -> DataFrame:
-    """Spans of bytes that stand earlier as a whole: ``id_col``, start, length, blocks, keep_doc_id and keep_start."""
+    """Spans of bytes that stand earlier as a whole: ``id_col``, start, length, blocks, keep_doc_id and keep_start.
+
+    Digests have ``bits`` bits; what collides is told apart by its bytes, but of blocks that do, only the first is a keeper.
+    """
     docs = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(df[id_col].cast("long").alias("doc"), df[text_col].cast("string").alias("text"))
     n = max(partitions(df.sparkSession), total_bytes(docs, "text") // (8 << 20) + 1)
-    found = stored(runs(docs, n, average, min_chunk, max_chunk, min_span))
+    found = stored(runs(docs, n, average, min_chunk, max_chunk, min_span, bits))
     keepers = stored(found.groupBy(F.col("keep_doc").alias("doc"), F.col("keep_start").alias("start"), "length").agg(F.count("*").alias("n")))
     places = found.select("doc", "start", "length").union(keepers.select("doc", "start", "length")).distinct()
     around = stored(surroundings(docs, places, n, reach))

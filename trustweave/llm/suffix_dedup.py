@@ -1,24 +1,28 @@
 """Exact removal of long repeated byte strings, by bucket-pointer refinement spread over the cluster.
 
 Which ``span``-byte strings (windows) of a document also begin in a document with a smaller id is settled as in a suffix
-array built by bucket-pointer refinement (Schürmann and Stoye, 2007), cut off at depth ``span``: suffixes fall into
-buckets by their first q bytes, a bucket is refined by sorting on the bucket identifiers of later offsets, and refined
-identifiers are made of those found before. Bucket identifiers are 64-bit hashes, so that every task knows them.
+array built by bucket-pointer refinement (Schürmann and Stoye, 2007), cut off at depth ``span``: suffixes are sorted into
+buckets by their first q bytes and get a pointer, the number of their bucket's last place in the array; a bucket of
+several is refined by sorting on the pointers at a later offset, which are those that the last step has refined, until
+the depth is reached (:func:`pointers`). Pointers are places, not hashes, so equal ones mean equal bytes.
 
-1. Of the q-grams in a window, the one with the least identifier (the rightmost of equal ones) is the window's anchor;
-   equal windows have equal anchors, and successive windows that share one form a stretch of some 16 windows. Only
-   anchors are sorted, not every suffix.
-2. Stretches meet by anchor. Those that also agree in the identifiers of all later offsets are equal strings: all but
-   those of the least document go as a whole.
-3. Where stretches with one anchor differ, each that is left is refined window by window, on identifiers made of those
-   at offsets 0, 15 and 30 of the window.
+Sorting all suffixes of a corpus together would move each byte many times, so buckets that can't hold a repeat are left
+out first, and the others are sorted apart:
 
-Each task settles repeats among its own texts first, so a frequent stretch arrives once per batch; what travels is one
-binary column per batch and target. Documents are read again, shuffled once, to cut the bytes out.
+1. Of the q-grams in a window, the one with the least hash (the rightmost of equal ones) is the window's anchor; equal
+   windows have equal anchors, and successive windows that share one form a stretch of some 18 windows. Anchors that
+   only one document has are settled.
+2. The bytes of the other stretches are sorted in each batch by itself, which settles repeats among its own texts, so that a
+   frequent stretch is sent once per batch. What is left goes to the task of its anchor, is sorted there with all others
+   of that anchor, and windows with one pointer go but for those of the least document.
+
+What travels is packed columns. Documents are read again, shuffled once, to send stretches and to cut the bytes out. A
+task sorts some anchors' stretches at a time; those of one anchor stay together, so an anchor with many different
+surroundings costs its task some 200 bytes for each batch that holds it.
 
 Edge cases: null texts count as empty; texts shorter than ``span`` bytes keep everything; a window repeated within its
 own document only stays; rows that repeat a document id count as one document for comparison and are returned each; null
-ids are returned unchanged; an empty table gives an empty result; only the named columns are read.
+ids are returned unchanged; an empty table gives an empty result; ids are cast to long; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,37 +38,75 @@ from pyspark.sql import functions as F
 from trustweave.llm.common import partitions, slices, stored, total_bytes
 from trustweave.llm.winnowing import gram_hashes, mix
 
-SPAN, Q = 50, 20
-C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+SPAN, Q = 50, 16
 PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of text in a batch, whose places must fit 24 bits, and of one part of a longer text.
 BATCH, PART = 2 << 20, 1 << 20
-#: Anchors of all batches so far that a task sends at once.
-FLUSH = 400_000
+#: Anchors of all batches so far that a task sends at once, and bytes of stretches that it sorts at once.
+FLUSH, SORTED = 400_000, 2 << 20
+
+
+def first_words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts like them; bytes beyond the end count as 0."""
+    w = np.zeros(len(raw) + 8, np.uint64)
+    w[: len(raw)] = raw
+    for size in (1, 2, 4):
+        w[:-size] = (w[:-size] << np.uint64(8 * size)) | w[size:]
+        w[-size:] <<= np.uint64(8 * size)
+    return w[: len(raw)]
+
+
+def pointers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Bucket pointers of all suffixes at depth ``span``: two are equal just if the ``span`` bytes are (zeros follow the end)."""
+    key = first_words(raw)
+    order = np.argsort(key)
+    key = key[order]
+    last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(last, prepend=-1)
+    pointer = np.empty(len(raw) + span, np.int64)
+    pointer[order] = np.repeat(last, size)
+    pointer[len(raw) :] = -1  # beyond the end
+    held = order[np.repeat(size > 1, size)]  # suffixes in buckets of several, in the order of the array
+    depth = 8
+    while depth < span and len(held):
+        step = min(depth, span - depth)
+        bucket, later = pointer[held], pointer[held + step]
+        # Both are below 2^31 where texts are; sorting on (bucket, later) keeps each bucket in its own places.
+        pair = (bucket << 32) + later + 1
+        order = np.argsort(pair)
+        held, pair, bucket = held[order], pair[order], bucket[order]
+        opens = np.append(True, bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(opens)
+        many = np.diff(np.append(first, len(held)))
+        # The i-th suffix of a bucket of n whose last place is p stands at place p - n + 1 + i.
+        place = bucket - np.repeat(many, many) + 1 + np.arange(len(held)) - np.repeat(first, many)
+        end = np.flatnonzero(np.append(pair[1:] != pair[:-1], True))
+        size = np.diff(end, prepend=-1)
+        pointer[held] = np.repeat(place[end], size)
+        held = held[np.repeat(size > 1, size)]
+        depth += step
+    return pointer[: len(raw)]
+
+
+def repeats(pointer: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of these windows, by their pointers, also begin in a smaller document."""
+    least = np.full(int(pointer.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, pointer, doc)
+    return doc > least[pointer]
 
 
 @dataclass
 class Stretches:
-    """Windows with one anchor, in page order: text, first and last window (in that text), anchor, and identifiers."""
+    """Windows with one anchor, in page order: text, its number there, first and last window (in that text), and anchor."""
 
     of: np.ndarray
     ordinal: np.ndarray
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
-    #: Start of each text in the batch, and the q-gram identifiers there.
+    raw: np.ndarray
+    #: Start of each text in the batch.
     starts: np.ndarray
-    grams: np.ndarray
-
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Identifiers of the windows that begin at these places of the batch."""
-        return refined(self.grams, at)
-
-
-def refined(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    half = mix(grams[at] * C[0] + grams[at + 15])
-    return mix(half * C[1] + grams[at + SPAN - Q])
 
 
 def stretches(texts: list[bytes]) -> Stretches:
@@ -73,8 +115,7 @@ def stretches(texts: list[bytes]) -> Stretches:
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(n + SPAN)[:-1]])
     grams = gram_hashes(raw, Q)
-    key = (grams & ~PLACE) | (PLACE - np.arange(len(grams), dtype=np.uint64))
-    low, size, width = key, 1, SPAN - Q + 1
+    low, size, width = (grams & ~PLACE) | (PLACE - np.arange(len(grams), dtype=np.uint64)), 1, SPAN - Q + 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
@@ -90,41 +131,31 @@ def stretches(texts: list[bytes]) -> Stretches:
     end = np.append(begin[1:], total) - 1 if total else begin
     of, first, last = of[begin], at[begin], at[end]
     place = (PLACE - (chosen[begin] & PLACE)).astype(np.int64)
-    shape = ((last - first) << 6 | (place - first)).astype(np.uint64)
-    content = mix(refined(grams, first) * C[2] + refined(grams, last) * C[3] + shape)
     per_text = np.bincount(of, minlength=len(texts))
     ordinal = np.arange(len(of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    return Stretches(of, ordinal, first - starts[of], last - starts[of], grams[place], content, starts, grams)
+    return Stretches(of, ordinal, first - starts[of], last - starts[of], grams[place], raw, starts)
 
 
-def settle(bucket: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by bucket, content and document; in it, which rows repeat the content of a smaller document, and new buckets."""
-    order = np.lexsort((doc, content, bucket))
-    b, c, d = bucket[order], content[order], doc[order]
-    fresh_bucket = np.ones(len(b), bool)
-    fresh_bucket[1:] = b[1:] != b[:-1]
-    fresh = fresh_bucket.copy()
-    fresh[1:] |= c[1:] != c[:-1]
-    least = d[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(d) else d
-    return order, d > least, fresh_bucket
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, ``count`` numbers for each."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def open_buckets(fresh_bucket: np.ndarray, kept: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of rows in order of :func:`settle`, those kept ones whose bucket holds kept rows of several documents."""
-    which = np.cumsum(fresh_bucket) - 1
-    low = np.full(int(which[-1]) + 1 if len(which) else 0, np.iinfo(np.int64).max)
-    high = np.full(len(low), np.iinfo(np.int64).min)
-    np.minimum.at(low, which[kept], doc[kept])
-    np.maximum.at(high, which[kept], doc[kept])
-    return kept & (low < high)[which]
+def gone_windows(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches of ``count`` windows from ``begin`` on, the runs that repeat a smaller document: stretch, first window (in it) and how many."""
+    at, of = spread(begin, count), np.repeat(np.arange(len(begin)), count)
+    gone = np.flatnonzero(repeats(pointers(raw)[at], doc[of]))
+    of, at = of[gone], (at - begin[of])[gone] if len(gone) else gone
+    new = np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)) if len(of) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return of[first], at[first], np.diff(np.append(first, len(of)))
 
 
-#: Packed columns on the way to a bucket's task, or, if it is known that they go, numbers on the way home.
-SENT = "target int, known boolean, packed binary"
-#: Numbers on the way to their documents' task: those that go (kind 0), and those to be refined (kind 1).
-FOUND = "home int, kind byte, packed binary"
-#: One row for each document and kind.
-GATHERED = "doc long, kind byte, numbers array<long>"
+#: Packed columns on the way to an anchor's task (with the bytes of stretches, or none), or, if known, home.
+SENT = "target int, known boolean, packed binary, bytes binary"
+#: Numbers on the way to their documents' task, and one row for each document.
+FOUND = "home int, packed binary"
+GATHERED = "doc long, a array<long>, b array<long>"
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -150,17 +181,6 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     return made
 
 
-def by_doc(doc: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """One row for each document, with its numbers."""
-    order = np.argsort(doc, kind="stable")
-    doc, number = doc[order], number[order].astype(np.int64)
-    new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
-    begin = np.flatnonzero(new)
-    offsets = pa.array(np.append(begin, len(doc)), pa.int32())
-    return pa.array(doc[begin], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(number))
-
-
 def dealt(target: np.ndarray, n: int, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Targets in use, and the columns packed for each."""
     order = np.argsort(target, kind="stable")
@@ -174,92 +194,141 @@ def home_of(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
-def rows(schema: str, target: list[int], middle, packed: list[bytes]) -> pa.RecordBatch:
-    names = [f.split()[0] for f in schema.split(", ")]
-    kind = pa.bool_() if names[1] == "known" else pa.int8()
-    return pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([middle] * len(target), kind), pa.array(packed, pa.binary())], names=names)
+def rows(schema: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
-def send(bucket: np.ndarray, content: np.ndarray, doc: np.ndarray, number: np.ndarray, n: int, name: str) -> Iterator[pa.RecordBatch]:
-    """Rows of SENT for a batch: what is known to go, by its document's home, and the rest by bucket."""
-    order, gone, _ = settle(bucket, content, doc)
-    bucket, content, doc, number = (x[order] for x in (bucket, content, doc, number.astype(np.int64)))
-    if gone.any():
-        used, packed = dealt(home_of(doc[gone], n), n, doc[gone], number[gone])
-        yield rows(SENT, used, True, packed)
-    bucket, content, doc, number = (x[~gone] for x in (bucket, content, doc, number))
-    order = np.lexsort((number, doc))
-    bucket, content, doc, number = (x[order] for x in (bucket, content, doc, number))
-    target = (bucket % np.uint64(n)).astype(np.int32)
-    shown = (bucket >> np.uint64(32), content >> np.uint64(16)) if name == "stretch" else (bucket,)
-    used, packed = dealt(target, n, *shown, doc, number)
-    yield rows(SENT, used, False, packed)
+def find_shared(n: int):
+    """The task of some targets: numbers of the stretches whose anchor stands in several documents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            target, known, packed, _ = (c.to_pylist() for c in batch.columns)
+            yield rows(FOUND, [t for t, k in zip(target, known, strict=True) if k], [p for p, k in zip(packed, known, strict=True) if k])
+            for t, k, p in zip(target, known, packed, strict=True):
+                if not k:
+                    parts.setdefault(t, []).append(p)
+        for some in parts.values():
+            columns = [unpack(p) for p in some]
+            anchor, doc, number = (np.concatenate([c[k] for c in columns]) for k in range(3))
+            order = np.argsort(anchor)
+            anchor, doc, number = anchor[order], doc[order].view(np.int64), number[order].view(np.int64)
+            first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            many = np.diff(np.append(first, len(anchor)))
+            several = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), many)
+            if several.any():
+                yield rows(FOUND, *dealt(home_of(doc[several], n), n, doc[several], number[several]))
+
+    return run
 
-def receive(name: str, n: int):
-    """The task of some targets: settles their buckets, and returns what goes and what must be refined."""
+
+def sort_anchors(n: int):
+    """The task of some targets: sorts the stretches of some anchors at a time, and returns the runs that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
-            target, known, packed = (c.to_pylist() for c in batch.columns)
-            ready = [(t, p) for t, k, p in zip(target, known, packed, strict=True) if k]
-            yield rows(FOUND, [t for t, _ in ready], 0, [p for _, p in ready])
-            for t, k, p in zip(target, known, packed, strict=True):
+            target, known, packed, held = (c.to_pylist() for c in batch.columns)
+            yield rows(FOUND, [t for t, k in zip(target, known, strict=True) if k], [p for p, k in zip(packed, known, strict=True) if k])
+            for t, k, p, b in zip(target, known, packed, held, strict=True):
                 if not k:
-                    parts.setdefault(t, []).append(unpack(p))
+                    parts.setdefault(t, []).append((p, b))
         for some in parts.values():
-            columns = [np.concatenate([p[k] for p in some]) for k in range(len(some[0]))]
-            bucket, doc, number = columns[0], columns[-2].view(np.int64), columns[-1].view(np.int64)
-            order, gone, fresh = settle(bucket, columns[1] if name == "stretch" else np.zeros(len(bucket), np.uint8), doc)
-            doc, number = doc[order], number[order]
-            if gone.any():
-                used, packed = dealt(home_of(doc[gone], n), n, doc[gone], number[gone])
-                yield rows(FOUND, used, 0, packed)
-            if name == "stretch" and (again := open_buckets(fresh, ~gone, doc)).any():
-                used, packed = dealt(home_of(doc[again], n), n, doc[again], number[again])
-                yield rows(FOUND, used, 1, packed)
+            columns = [unpack(p) for p, _ in some]
+            anchor, doc, start, count = (np.concatenate([c[k] for c in columns]) for k in range(4))
+            doc, start, count = doc.view(np.int64), start.view(np.int64), count.astype(np.int64)
+            raw = np.frombuffer(b"".join(pa.decompress(b, int(c[3].sum()) + len(c[3]) * (SPAN - 1), "zstd", asbytes=True) for (_, b), c in zip(some, columns, strict=True)), np.uint8)
+            size = count + SPAN - 1
+            begin = np.cumsum(size) - size
+            order = np.argsort(anchor, kind="stable")
+            new = np.append(True, anchor[order][1:] != anchor[order][:-1])
+            # Anchors are taken together until they have enough bytes.
+            part = np.cumsum(size[order]) // SORTED
+            part = part[np.flatnonzero(new)][np.cumsum(new) - 1]
+            for k in range(int(part[-1]) + 1):
+                which = order[part == k]
+                if len(which):
+                    of, at, many = gone_windows(raw[spread(begin[which], size[which])], np.cumsum(size[which]) - size[which], count[which], doc[which])
+                    of = which[of]
+                    if len(of):
+                        yield rows(FOUND, *dealt(home_of(doc[of], n), n, doc[of], start[of] + at, many))
 
     return run
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers that have come home: one row for each document and kind."""
-    held: dict[int, list] = {0: [], 1: []}
+    """Numbers that have come home: one row for each document."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held[kind].append(unpack(packed))
-    for kind, parts in held.items():
-        if parts:
-            doc, number = (np.concatenate([p[k] for p in parts]).view(np.int64) for k in (0, 1))
-            ids, numbers = by_doc(doc, number)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), kind, np.int8)), numbers], names=["doc", "kind", "numbers"])
+        held += [unpack(p) for p in batch.column(1).to_pylist()]
+    if held:
+        doc, a = (np.concatenate([h[k] for h in held]).view(np.int64) for k in (0, 1))
+        b = np.concatenate([h[2] if len(h) > 2 else np.zeros(len(h[0]), np.uint64) for h in held]).view(np.int64)
+        order = np.lexsort((a, doc))
+        doc, a, b = doc[order], a[order], b[order]
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        edges = pa.array(np.append(first, len(doc)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.ListArray.from_arrays(edges, pa.array(a)), pa.ListArray.from_arrays(edges, pa.array(b))], names=["doc", "a", "b"])
 
 
-def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df``'s id (as doc) and text with ``stretches`` and ``windows``, the numbers of those that go, by :func:`cut`."""
+def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """``df``'s id (as doc) and text with the runs of windows that go: where each begins (a), and how many follow one another (b).
+
+    Anchors go by the last ``bits`` of their hash; fewer of them change the work, not the result.
+    """
+    mask = np.uint64((1 << bits) - 1)
     docs = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
-    n = max(partitions(df.sparkSession), total_bytes(docs, "text") // (16 << 20) + 1)
+    n = max(partitions(df.sparkSession), total_bytes(docs, "text") // (8 << 20) + 1)
 
     def texts_of(batch: pa.RecordBatch) -> list[bytes]:
         return [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            anchor, doc, number = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
+            used, packed = dealt((anchor % np.uint64(n)).astype(np.int32), n, anchor >> np.uint64(32), doc, number)
+            return rows(SENT, used, [False] * len(used), packed, [None] * len(used))
+
         for batch in slices(batches, "text", BATCH):
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for g in groups(texts_of(batch)):
                 s = g.found
-                held.append([s.anchor, s.content, ids[g.owner[s.of]], g.before[s.of] + s.ordinal])
+                held.append([s.anchor & mask, ids[g.owner[s.of]], g.before[s.of] + s.ordinal])
             if sum(len(h[0]) for h in held) > FLUSH:
-                yield from send(*(np.concatenate([h[k] for h in held]) for k in range(4)), n, "stretch")
-                held = []
+                yield flush()
         if sum(len(h[0]) for h in held):
-            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(4)), n, "stretch")
+            yield flush()
+
+    def send_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Sort what is held; send home what goes by that, and the stretches with anything left to their anchors."""
+            size = np.fromiter((len(h[4]) for h in held), np.int64, len(held))
+            shift = np.repeat(np.cumsum(size) - size, [len(h[0]) for h in held])
+            anchor, doc, start, count, begin = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 3, 5))
+            raw, begin = np.concatenate([h[4] for h in held]), begin + shift
+            held.clear()
+            of, at, many = gone_windows(raw, begin, count, doc)
+            if len(of):
+                used, packed = dealt(home_of(doc[of], n), n, doc[of], start[of] + at, many)
+                yield rows(SENT, used, [True] * len(used), packed, [None] * len(used))
+            left = np.flatnonzero(np.bincount(of, many, minlength=len(doc)) < count)
+            target = (anchor[left] % np.uint64(n)).astype(np.int32)
+            order = np.argsort(target, kind="stable")
+            left, target = left[order], target[order]
+            used, packed = dealt(target, n, anchor[left] >> np.uint64(24), doc[left], start[left], count[left])
+            edges = np.searchsorted(target, [*used, n]).tolist()
+            some = [raw[spread(begin[x], count[x] + SPAN - 1)].tobytes() for x in (left[a:b] for a, b in zip(edges, edges[1:], strict=False))]
+            yield rows(SENT, used, [False] * len(used), packed, [pa.compress(b, "zstd", asbytes=True) for b in some])
 
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
         for batch in slices(batches, "text", BATCH):
             batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -267,33 +336,35 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for g in groups(texts_of(batch)):
                 s = g.found
                 edges = np.searchsorted(s.of, np.arange(len(g.owner) + 1)).tolist()
-                k = []
+                k = [np.zeros(0, np.int64)]
                 for i, a, b, before in zip(g.owner.tolist(), edges, edges[1:], g.before.tolist(), strict=False):
                     low, high = np.searchsorted(wanted[i], (before, before + b - a))
                     k.append(a + wanted[i][low:high] - before)
                 k = np.concatenate(k)
-                count = s.last[k] - s.first[k] + 1
-                off = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                k = np.repeat(k, count)
-                part, at = s.of[k], s.first[k] + off
-                held.append([s.windows(s.starts[part] + at), ids[g.owner[part]], g.base[part] + at])
-            if sum(len(h[0]) for h in held) > FLUSH:
-                key, doc, at = (np.concatenate([h[k] for h in held]) for k in range(3))
-                yield from send(key, np.zeros(len(key), np.uint8), doc, at, n, "window")
-                held = []
-        if sum(len(h[0]) for h in held):
-            key, doc, at = (np.concatenate([h[k] for h in held]) for k in range(3))
-            yield from send(key, np.zeros(len(key), np.uint8), doc, at, n, "window")
-
-    def settled(sent: DataFrame, name: str) -> DataFrame:
-        found = sent.repartition(n, "target").mapInArrow(receive(name, n), FOUND)
-        return found.repartition(n, "home").mapInArrow(gather, GATHERED)
-
-    of_kind = lambda d, k, name: d.where(F.col("kind") == k).select("doc", F.col("numbers").alias(name))
-    marked = stored(settled(docs.mapInArrow(first_pass, SENT), "stretch"))
-    again = docs.join(of_kind(marked, 1, "numbers"), "doc", "left").select("doc", "text", "numbers")
-    windows = settled(again.mapInArrow(second_pass, SENT), "window")
-    return docs.join(of_kind(marked, 0, "stretches"), "doc", "left").join(of_kind(windows, 0, "windows"), "doc", "left")
+                if not len(k):
+                    continue
+                begin, count = s.starts[s.of[k]] + s.first[k], s.last[k] - s.first[k] + 1
+                # Neighbouring stretches overlap; their bytes are held once.
+                end = begin + count + SPAN - 1
+                new = np.append(True, begin[1:] > end[:-1])
+                first = np.flatnonzero(new)
+                low, high = begin[first], end[np.append(first[1:], len(k)) - 1]
+                size = high - low
+                raw = s.raw[spread(low, size)]
+                moved = begin - np.repeat(low - (np.cumsum(size) - size), np.diff(np.append(first, len(k))))
+                held.append((s.anchor[k] & mask, ids[g.owner[s.of[k]]], g.base[s.of[k]] + s.first[k], count, raw, moved))
+            if sum(len(h[4]) for h in held) > SORTED // 2:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def home(sent: DataFrame, task) -> DataFrame:
+        return sent.repartition(n, "target").mapInArrow(task, FOUND).repartition(n, "home").mapInArrow(gather, GATHERED)
+
+    shared = stored(home(docs.mapInArrow(send_anchors, SENT), find_shared(n)))
+    again = docs.join(shared.select("doc", F.col("a").alias("numbers")), "doc", "left").select("doc", "text", "numbers")
+    found = home(again.mapInArrow(send_bytes, SENT), sort_anchors(n))
+    return docs.join(found, "doc", "left")
 
 
 @dataclass
@@ -309,8 +380,8 @@ class Group:
 def groups(texts: list[bytes]) -> Iterator[Group]:
     """All stretches of the texts, in groups of bounded size.
 
-    Longer texts are taken in parts that overlap by ``span`` - 1 bytes. A stretch that a part's end divides no longer
-    agrees with whole ones, and so is refined window by window.
+    Longer texts are taken in parts that overlap by ``span`` - 1 bytes. Anchors depend on a window's bytes alone, so a stretch that a
+    part's end divides is two with one anchor.
     """
     some: list[bytes] = []
     owner: list[int] = []
@@ -340,24 +411,12 @@ def groups(texts: list[bytes]) -> Iterator[Group]:
         yield group()
 
 
-def gone_ranges(text: bytes, whole: list[int] | None, windows: list[int] | None) -> np.ndarray:
+def gone_ranges(begin: list[int] | None, count: list[int] | None) -> np.ndarray:
     """Maximal runs of bytes that go, as rows (start, end)."""
-    begins, ends = [], []
-    if whole:
-        numbers = np.unique(np.array(whole, np.int64))
-        for g in groups([text]):
-            s = g.found
-            number, base = g.before[s.of] + s.ordinal, g.base[s.of]
-            k = np.isin(number, numbers)
-            begins.append((base + s.first)[k])
-            ends.append((base + s.last)[k] + SPAN)
-    if windows:
-        w = np.array(windows, np.int64)
-        begins.append(w)
-        ends.append(w + SPAN)
-    if not begins:
+    if not begin:
         return np.zeros((0, 2), np.int64)
-    begin, end = np.concatenate(begins), np.concatenate(ends)
+    begin = np.array(begin, np.int64)
+    end = begin + np.array(count, np.int64) + SPAN - 1
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], np.maximum.accumulate(end[order])
     new = np.ones(len(begin), bool)
@@ -366,16 +425,16 @@ def gone_ranges(text: bytes, whole: list[int] | None, windows: list[int] | None)
     return np.stack([begin[first], end[np.append(first[1:], len(begin)) - 1]], axis=1)
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """Per row: ``id_col``, n_bytes, spans (maximal removed runs of bytes: start, length) and kept, the bytes left."""
-    marked = repeated_bytes(df, id_col, text_col).select("doc", "text", "stretches", "windows")
+    marked = repeated_bytes(df, id_col, text_col, bits).select("doc", "text", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n_bytes, spans, kept = [], [], []
-            for text, whole, windows in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, begin, count in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                ranges = gone_ranges(raw, whole, windows).tolist()
+                ranges = gone_ranges(begin, count).tolist()
                 n_bytes.append(len(raw))
                 spans.append([{"start": a, "length": b - a} for a, b in ranges])
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in ranges]], [*[b for b, _ in ranges], len(raw)], strict=True)))
