@@ -88,31 +88,33 @@ def since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.since(table(spark, sf_dir, "events"), "ts", "2024-01-02 00:00:00").select("event_id", "ts")
 
 
-# Entity resolution over documents, compared by their whole texts without marks on letters; sources are their source.
+# Entity resolution over all customers. Titles are their numbers from the last digit on, which begin in a thousand ways,
+# and their segment; sources go by nation.
 
 LEAST = 0.9
 TITLES = f"""titles AS (
-    SELECT doc_id AS row_id, source, trim(regexp_replace(translate(regexp_replace(text, '\\s+', ' ', 'g'), '{text.MARKED}', '{text.PLAIN}'), '[^ -~]', '?', 'g')) AS title,
-        CAST(n_chars % 3 AS INTEGER) AS year FROM documents
+    SELECT c_custkey AS row_id, 's' || CAST(c_nationkey % 4 AS VARCHAR) AS source, reverse(substr(c_name, 10)) || ' ' || c_mktsegment AS title, CAST(c_custkey % 3 AS INTEGER) AS year FROM customer
 ), words AS (
-    SELECT *, array_to_string(list_sort(string_split(lower(title), ' ')), ' ') AS s, substr(lower(title), 1, 5) AS block FROM titles
-), near AS (
-    SELECT a.row_id AS a, b.row_id AS b, a.s AS x, b.s AS y, greatest(length(a.s), length(b.s), 1) AS n, 1 - abs(a.year - b.year) AS agree
+    SELECT *, array_to_string(list_sort(string_split(lower(title), ' ')), ' ') AS s, substr(lower(title), 1, 3) AS block FROM titles
+), scored AS (
+    SELECT a.row_id AS a, b.row_id AS b, (1 - CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s))) * 0.7 + (1 - abs(a.year - b.year)) * (1 - 0.7) AS score
     FROM words a JOIN words b ON a.block = b.block AND a.row_id < b.row_id AND a.source <> b.source AND abs(a.year - b.year) <= 1
-), scored AS MATERIALIZED (
-    SELECT a, b, (1 - CAST(levenshtein(x, y) AS DOUBLE) / n) * 0.7 + agree * (1 - 0.7) AS score
-    FROM near WHERE (1 - abs(length(x) - length(y)) / n) * 0.7 + agree * (1 - 0.7) >= {LEAST} - 1e-9
 )"""
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = text.plain_letters(text.clean(F.col("text")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "source", title.alias("title"), (F.col("n_chars") % 3).cast("int").alias("year"))
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS row_id", "concat('s', c_nationkey % 4) AS source", "concat(reverse(substring(c_name, 10)), ' ', c_mktsegment) AS title", "int(c_custkey % 3) AS year"
+    )
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return R.score_titles(rows, letters=3, least=LEAST)
 
 
 @query("er_pairs", f"WITH {TITLES} SELECT a, b, round(score, 6) AS score FROM scored WHERE score >= {LEAST}")
 def er_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.score_titles(_titles(spark, sf_dir), long=True, least=LEAST).select("a", "b", F.round("score", 6).alias("score"))
+    return _scored(_titles(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -125,21 +127,21 @@ def er_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def er_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _titles(spark, sf_dir)
-    return R.cluster(rows, R.decide(R.score_titles(rows, long=True, least=LEAST), LEAST))
+    return R.cluster(rows, R.decide(_scored(rows), LEAST))
 
 
 @query(
     "er_decisions",
     f"""
     WITH {TITLES}, strong AS (SELECT a, b FROM scored WHERE score >= {LEAST}),
-    merged AS (SELECT a, b FROM strong UNION SELECT 2 * doc_id, 2 * doc_id + 1 FROM documents WHERE doc_id < 20)
+    merged AS (SELECT a, b FROM strong UNION SELECT 2 * c_custkey, 2 * c_custkey + 1 FROM customer WHERE c_custkey < 20)
     SELECT a, b FROM merged WHERE (a + b) % 5 <> 0
     """,
 )
 def er_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forced merges are added and forced splits taken away."""
     rows = _titles(spark, sf_dir)
-    pairs = R.score_titles(rows, long=True, least=LEAST)
+    pairs = _scored(rows)
     merges = rows.where("row_id < 20").select((2 * F.col("row_id")).alias("a"), (2 * F.col("row_id") + 1).alias("b"))
     splits = pairs.select("a", "b").union(merges).where("(a + b) % 5 = 0")
     return R.decide(pairs, LEAST, merges, splits)
