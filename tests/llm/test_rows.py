@@ -243,11 +243,11 @@ def words_found(page, weights, **options):
 
 
 def test_held_out_pages():
-    """Weights from half of the labelled pages find the main text of the others."""
+    """Weights from some of the labelled pages find the main text of the others."""
     labelled = pages()
-    weights = html_text.learn(labelled[::2])
-    want, got, both = np.sum([words_found(p, weights) for p in labelled[1::2]], axis=0)
-    assert both > 0.95 * want and both > 0.97 * got
+    weights = html_text.learn(labelled[:600])
+    want, got, both = np.sum([words_found(p, weights) for p in labelled[600:]], axis=0)
+    assert both > 0.97 * want and both > 0.97 * got
 
 
 P = "<p>The boats came in late, and nobody on the pier said a word about the storm. By then it was dark.</p>"

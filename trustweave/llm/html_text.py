@@ -182,7 +182,7 @@ class Weights:
     numbers: tuple[float, ...]
     tags: dict[str, float]
     other: float = -0.05
-    also: float = 0.1
+    also: float = 0.2
 
 
 def fit(rows: list[tuple[frozenset[str], tuple[float, ...], int, bool]], penalty: float = 0.5, rounds: int = 25) -> tuple[dict[str, float], tuple[float, ...]]:
