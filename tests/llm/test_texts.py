@@ -183,6 +183,16 @@ def test_pointers_tell_bytes_apart():
             assert [p[a] == p[b] for b in inside] == [suffixes[a] == suffixes[b] for b in inside]
 
 
+def test_more_windows_than_are_sorted_at_once(monkeypatch):
+    rng = random.Random(8)
+    raw = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(3000)) * 2 + b"z" * 1500, np.uint8)
+    at = np.arange(len(raw) - 50)
+    whole = suffix_dedup.numbered(raw, at)
+    monkeypatch.setattr(suffix_dedup, "MOST", 2000)
+    parts = suffix_dedup.numbered(raw, at)
+    assert len(set(zip(whole.tolist(), parts.tolist(), strict=True))) == len(set(whole.tolist())) == len(set(parts.tolist()))
+
+
 def test_parts_of_long_texts_keep_all_windows(monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab cd") for _ in range(5000)).encode(), b"", b"z" * 49, b"q" * 300]

@@ -9,9 +9,9 @@ the depth is reached (:func:`pointers`). Pointers are places, not hashes, so equ
 Sorting all suffixes of a corpus together would move each byte many times, so buckets that can't hold a repeat are left
 out first, and the others are sorted apart:
 
-1. Of the q-grams in a window, the one with the least hash (the rightmost of equal ones) is the window's anchor; equal
-   windows have equal anchors, and successive windows that share one form a stretch of some 18 windows. Anchors that
-   only one document has are settled.
+1. Of the q-grams in a window, the one with the least hash is the window's anchor; equal windows have equal anchors, and
+   successive windows with one form a stretch of some 18 windows (of all of them, where a text repeats a short phrase).
+   Anchors that only one document has are settled.
 2. The bytes of the other stretches are sorted in each batch by itself, which settles repeats among its own texts, so that a
    frequent stretch is sent once per batch. What is left goes to the task of its anchor, is sorted there with all others
    of that anchor, and windows with one pointer go but for those of the least document.
@@ -39,11 +39,10 @@ from trustweave.llm.common import partitions, slices, stored, total_bytes
 from trustweave.llm.winnowing import gram_hashes, mix
 
 SPAN, Q = 50, 16
-PLACE = np.uint64((1 << 24) - 1)
-#: Bytes of text in a batch, whose places must fit 24 bits, and of one part of a longer text.
-BATCH, PART = 2 << 20, 1 << 20
-#: Anchors of all batches so far that a task sends at once, and bytes of stretches that it sorts at once.
-FLUSH, SORTED = 400_000, 2 << 20
+#: Bytes of text in a batch, which must be fewer than MOST, and of one part of a longer text.
+BATCH, PART = (2 << 20) - 1024, 1 << 20
+#: Anchors of all batches so far that a task sends at once, bytes of stretches that it sorts at once, and the most that it can.
+FLUSH, SORTED, MOST = 400_000, 1 << 19, (2 << 20) - 512
 
 
 def first_words(raw: np.ndarray) -> np.ndarray:
@@ -57,35 +56,42 @@ def first_words(raw: np.ndarray) -> np.ndarray:
 
 
 def pointers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Bucket pointers of all suffixes at depth ``span``: two are equal just if the ``span`` bytes are (zeros follow the end)."""
-    key = first_words(raw)
-    order = np.argsort(key)
-    key = key[order]
-    last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, np.int64)
+    """Bucket pointers of all suffixes at depth ``span``: two are equal just if the ``span`` bytes are (zeros follow the end).
+
+    A sort key and its place share 64 bits, as sorting numbers is much faster than sorting places by them.
+    """
+    n = len(raw)
+    bits = (n + span).bit_length()
+    if bits > 21:
+        raise ValueError("more bytes than pointers of 21 bits can number")
+    low, shift, depth = np.uint64((1 << bits) - 1), np.uint64(bits), 5
+    key = (first_words(raw) >> np.uint64(64 - 8 * depth) << shift) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int64)
+    key >>= shift
+    last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if n else np.zeros(0, np.int64)
     size = np.diff(last, prepend=-1)
-    pointer = np.empty(len(raw) + span, np.int64)
-    pointer[order] = np.repeat(last, size)
-    pointer[len(raw) :] = -1  # beyond the end
+    pointer = np.zeros(n + span, np.uint64)  # of last places plus one; 0 beyond the end
+    pointer[order] = np.repeat(last + 1, size).astype(np.uint64)
     held = order[np.repeat(size > 1, size)]  # suffixes in buckets of several, in the order of the array
-    depth = 8
     while depth < span and len(held):
         step = min(depth, span - depth)
-        bucket, later = pointer[held], pointer[held + step]
-        # Both are below 2^31 where texts are; sorting on (bucket, later) keeps each bucket in its own places.
-        pair = (bucket << 32) + later + 1
-        order = np.argsort(pair)
-        held, pair, bucket = held[order], pair[order], bucket[order]
-        opens = np.append(True, bucket[1:] != bucket[:-1])
-        first = np.flatnonzero(opens)
+        # By bucket, then by the pointer at the later offset: each bucket keeps its own places.
+        key = (((pointer[held] << shift) | pointer[held + step]) << shift) | held.astype(np.uint64)
+        key.sort()
+        held = (key & low).astype(np.int64)
+        key >>= shift
+        bucket = (key >> shift).astype(np.int64)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         many = np.diff(np.append(first, len(held)))
-        # The i-th suffix of a bucket of n whose last place is p stands at place p - n + 1 + i.
-        place = bucket - np.repeat(many, many) + 1 + np.arange(len(held)) - np.repeat(first, many)
-        end = np.flatnonzero(np.append(pair[1:] != pair[:-1], True))
+        # The i-th suffix of a bucket of n whose pointer is p stands at place p - n + i.
+        end = np.flatnonzero(np.append(key[1:] != key[:-1], True))
         size = np.diff(end, prepend=-1)
-        pointer[held] = np.repeat(place[end], size)
+        at = np.searchsorted(first, end, side="right") - 1
+        pointer[held] = np.repeat((bucket[end] - many[at] + end - first[at] + 1).astype(np.uint64), size)
         held = held[np.repeat(size > 1, size)]
         depth += step
-    return pointer[: len(raw)]
+    return pointer[:n].astype(np.int64) - 1
 
 
 def repeats(pointer: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -115,7 +121,7 @@ def stretches(texts: list[bytes]) -> Stretches:
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate([[0], np.cumsum(n + SPAN)[:-1]])
     grams = gram_hashes(raw, Q)
-    low, size, width = (grams & ~PLACE) | (PLACE - np.arange(len(grams), dtype=np.uint64)), 1, SPAN - Q + 1
+    low, size, width = grams, 1, SPAN - Q + 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
@@ -130,10 +136,9 @@ def stretches(texts: list[bytes]) -> Stretches:
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], total) - 1 if total else begin
     of, first, last = of[begin], at[begin], at[end]
-    place = (PLACE - (chosen[begin] & PLACE)).astype(np.int64)
     per_text = np.bincount(of, minlength=len(texts))
     ordinal = np.arange(len(of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    return Stretches(of, ordinal, first - starts[of], last - starts[of], grams[place], raw, starts)
+    return Stretches(of, ordinal, first - starts[of], last - starts[of], mix(chosen[begin]), raw, starts)
 
 
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -141,10 +146,30 @@ def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
+def numbered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Equal numbers for the windows at these places just if their bytes are equal."""
+    if len(raw) <= MOST:
+        return pointers(raw)[at]
+    # One anchor with more surroundings than can be sorted at once: windows go by their first bytes, in parts that are
+    # sorted by themselves, each with its own numbers; equal windows are in one part.
+    words = first_words(raw)[at]
+    parts = mix(words) % np.uint64(len(at) * SPAN // MOST + 1)
+    made = np.zeros(len(at), np.int64)
+    done = 0
+    for k in np.unique(parts).tolist():
+        which = np.flatnonzero(parts == k)
+        if len(which) * SPAN <= MOST:
+            made[which] = done + pointers(raw[(at[which, None] + np.arange(SPAN)).ravel()])[np.arange(len(which)) * SPAN]
+        else:  # many equal beginnings
+            made[which] = done + np.unique(raw[at[which, None] + np.arange(SPAN)], axis=0, return_inverse=True)[1].ravel()
+        done += len(which) * SPAN
+    return made
+
+
 def gone_windows(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of stretches of ``count`` windows from ``begin`` on, the runs that repeat a smaller document: stretch, first window (in it) and how many."""
     at, of = spread(begin, count), np.repeat(np.arange(len(begin)), count)
-    gone = np.flatnonzero(repeats(pointers(raw)[at], doc[of]))
+    gone = np.flatnonzero(repeats(numbered(raw, at), doc[of]))
     of, at = of[gone], (at - begin[of])[gone] if len(gone) else gone
     new = np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)) if len(of) else np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -311,6 +336,8 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def flush() -> Iterator[pa.RecordBatch]:
             """Sort what is held; send home what goes by that, and the stretches with anything left to their anchors."""
+            if not held:
+                return
             size = np.fromiter((len(h[4]) for h in held), np.int64, len(held))
             shift = np.repeat(np.cumsum(size) - size, [len(h[0]) for h in held])
             anchor, doc, start, count, begin = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 3, 5))
@@ -352,8 +379,10 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size = high - low
                 raw = s.raw[spread(low, size)]
                 moved = begin - np.repeat(low - (np.cumsum(size) - size), np.diff(np.append(first, len(k))))
+                if sum(len(h[4]) for h in held) + len(raw) > MOST:
+                    yield from flush()
                 held.append((s.anchor[k] & mask, ids[g.owner[s.of[k]]], g.base[s.of[k]] + s.first[k], count, raw, moved))
-            if sum(len(h[4]) for h in held) > SORTED // 2:
+            if sum(len(h[4]) for h in held) > SORTED:
                 yield from flush()
         if held:
             yield from flush()
