@@ -28,6 +28,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
                 begin, held = i, 0
             held += n
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the worker lives on, beside those of other stages
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,8 +54,20 @@ def ship(spark: SparkSession) -> None:
     sc._trustweave_shipped = True
 
 
+#: Bytes in an Arrow batch between the JVM and a Python worker, for each of which both hold it: rows may be long texts.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if held is None or not held.isdigit() or int(held) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
