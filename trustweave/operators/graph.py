@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert_nodes(old: DataFrame | None, new: DataFrame, key: str = "canonical_id") -> DataFrame:
-    """Nodes after an idempotent upsert: a new row replaces the old one of its key."""
-    new = new.dropDuplicates([key])
+def upsert_nodes(old: DataFrame | None, new: DataFrame, key: str = "canonical_id", latest: str | None = None) -> DataFrame:
+    """Nodes after an idempotent upsert: a new row replaces the old one of its key.
+
+    Of new rows with one key the last by ``latest`` counts, and of equally late ones the last by their values as JSON.
+    """
+    order = F.struct(*([F.col(latest)] if latest else []), F.to_json(F.struct(*new.columns)))
+    new = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*new.columns), order).alias("_row")).select("_row.*")
     if old is None:
         return new
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

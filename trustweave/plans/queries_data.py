@@ -14,8 +14,13 @@ from trustweave.operators import quality as Q
 from trustweave.operators import resolution as R
 from trustweave.operators import temporal as T
 from trustweave.plans import lineage
+from trustweave.plans.compiler import compile_spec
 from trustweave.plans.binding import SPEC, contributions, graph, table
+from trustweave.plans.queries_trust import ROWS
 from trustweave.plans.registry import query
+from trustweave.plans.stages import Build
+from trustweave.sources.lake import Lake
+from trustweave.sources.shared import shared_dir
 
 EVENTS = Spec(
     classes=(
@@ -396,6 +401,32 @@ def merge_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.merge(parts, bound).groupBy("canonical_id", "source").agg(F.count("*").alias("n"))
 
 
+def part_build(spark: SparkSession, sf_dir: str, root: str) -> Build:
+    """Line items as three sources of parts, to be built in a lake at ``root``."""
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({f"l_{c}": c for c in ("quantity", "discount", "tax", "linestatus")})
+    return Build(SPEC, Lake(spark, root), {s: lambda s=s: rows.where(F.col("l_returnflag") == s) for s in ("A", "N", "R")})
+
+
+@query(
+    "run_pipeline",
+    f"""
+    WITH {ROWS}, one AS (
+        SELECT canonical_id, quantile_cont(quantity, 0.5) AS quantity, arg_max(discount, row(trust, asserted_at, source, discount)) AS discount,
+            arg_max(tax, row(asserted_at, trust, source, tax)) AS tax FROM rows GROUP BY canonical_id
+    ), votes AS (SELECT canonical_id, linestatus, count(*) AS n, max(trust) AS t FROM rows GROUP BY ALL),
+    mode AS (SELECT canonical_id, arg_max(linestatus, row(n, t, linestatus)) AS linestatus FROM votes GROUP BY canonical_id)
+    SELECT CAST(canonical_id AS VARCHAR) AS canonical_id, quantity, discount, tax, linestatus FROM one JOIN mode USING (canonical_id)
+    """,
+)
+def run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published parts, after all stages from source rows on."""
+    import uuid
+
+    build = part_build(spark, sf_dir, f"{shared_dir(spark)}/lake-{uuid.uuid4().hex}")
+    build.run("run1", compile_spec(SPEC, "class:Part"))
+    return build.lake.read("nodes/Part").select("canonical_id", "quantity", "discount", "tax", "linestatus")
+
+
 @query("vertices", "SELECT 'Nation' AS kind, CAST(n_nationkey AS VARCHAR) AS node_id, n_name AS name, CAST(NULL AS VARCHAR) AS segment FROM nation UNION ALL SELECT 'Customer', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment FROM customer")
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
