@@ -183,12 +183,25 @@ def test_pointers_tell_bytes_apart():
             assert [p[a] == p[b] for b in inside] == [suffixes[a] == suffixes[b] for b in inside]
 
 
+def test_pointers_of_more_bytes_than_are_sorted_fast():
+    rng = np.random.default_rng(3)
+    some = rng.integers(97, 100, 700_000).astype(np.uint8)
+    raw = np.concatenate([some, np.tile(some[:1000], 800), some[::-1]])
+    p = suffix_dedup.pointers(raw)
+    assert len(raw) > suffix_dedup.MOST
+    at = rng.integers(0, len(raw) - 50, 4000)
+    at = np.concatenate([at, at[at < 1000], np.arange(1000), 700_000 + np.arange(1000)])
+    windows = [raw[k : k + 50].tobytes() for k in at]
+    assert len(set(zip(p[at].tolist(), windows, strict=True))) == len(set(windows)) == len(set(p[at].tolist()))
+
+
 def test_more_windows_than_are_sorted_at_once(monkeypatch):
     rng = random.Random(8)
     raw = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(3000)) * 2 + b"z" * 1500, np.uint8)
     at = np.arange(len(raw) - 50)
     whole = suffix_dedup.numbered(raw, at)
     monkeypatch.setattr(suffix_dedup, "MOST", 2000)
+    monkeypatch.setattr(suffix_dedup, "ONE", 4000)
     parts = suffix_dedup.numbered(raw, at)
     assert len(set(zip(whole.tolist(), parts.tolist(), strict=True))) == len(set(whole.tolist())) == len(set(parts.tolist()))
 

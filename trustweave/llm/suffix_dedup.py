@@ -41,8 +41,9 @@ from trustweave.llm.winnowing import gram_hashes, mix
 SPAN, Q = 50, 16
 #: Bytes of text in a batch, which must be fewer than MOST, and of one part of a longer text.
 BATCH, PART = (2 << 20) - 1024, 1 << 20
-#: Anchors of all batches so far that a task sends at once, bytes of stretches that it sorts at once, and the most that it can.
-FLUSH, SORTED, MOST = 400_000, 1 << 19, (2 << 20) - 512
+#: Anchors of all batches so far that a task sends at once, bytes of stretches that it sorts at once, the most that it can sort
+#: fast, and the most bytes of one anchor that it sorts together.
+FLUSH, SORTED, MOST, ONE = 400_000, 1 << 19, (2 << 20) - 512, 6 << 20
 
 
 def first_words(raw: np.ndarray) -> np.ndarray:
@@ -58,17 +59,22 @@ def first_words(raw: np.ndarray) -> np.ndarray:
 def pointers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Bucket pointers of all suffixes at depth ``span``: two are equal just if the ``span`` bytes are (zeros follow the end).
 
-    A sort key and its place share 64 bits, as sorting numbers is much faster than sorting places by them.
+    Up to ``MOST`` bytes, a sort key and its place share 64 bits, as sorting numbers is much faster than sorting places.
     """
     n = len(raw)
     bits = (n + span).bit_length()
-    if bits > 21:
-        raise ValueError("more bytes than pointers of 21 bits can number")
-    low, shift, depth = np.uint64((1 << bits) - 1), np.uint64(bits), 5
-    key = (first_words(raw) >> np.uint64(64 - 8 * depth) << shift) | np.arange(n, dtype=np.uint64)
-    key.sort()
-    order = (key & low).astype(np.int64)
-    key >>= shift
+    packed = bits <= 21
+    low, shift, depth = np.uint64((1 << bits) - 1), np.uint64(bits if packed else 32), 5 if packed else 8
+
+    def in_order(key: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if packed:
+            key = (key << shift) | places.astype(np.uint64)
+            key.sort()
+            return key >> shift, (key & low).astype(np.int64)
+        order = np.argsort(key)
+        return key[order], places[order]
+
+    key, order = in_order(first_words(raw) >> np.uint64(64 - 8 * depth), np.arange(n))
     last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if n else np.zeros(0, np.int64)
     size = np.diff(last, prepend=-1)
     pointer = np.zeros(n + span, np.uint64)  # of last places plus one; 0 beyond the end
@@ -77,10 +83,7 @@ def pointers(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
     while depth < span and len(held):
         step = min(depth, span - depth)
         # By bucket, then by the pointer at the later offset: each bucket keeps its own places.
-        key = (((pointer[held] << shift) | pointer[held + step]) << shift) | held.astype(np.uint64)
-        key.sort()
-        held = (key & low).astype(np.int64)
-        key >>= shift
+        key, held = in_order((pointer[held] << shift) | pointer[held + step], held)
         bucket = (key >> shift).astype(np.int64)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         many = np.diff(np.append(first, len(held)))
@@ -148,7 +151,7 @@ def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def numbered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Equal numbers for the windows at these places just if their bytes are equal."""
-    if len(raw) <= MOST:
+    if len(raw) <= ONE:
         return pointers(raw)[at]
     # One anchor with more surroundings than can be sorted at once: windows go by their first bytes, in parts that are
     # sorted by themselves, each with its own numbers; equal windows are in one part.
