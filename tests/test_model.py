@@ -1,3 +1,6 @@
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 import pytest
 
 from trustweave import expr as X
@@ -6,7 +9,8 @@ from trustweave.plans import compiler, lineage
 from trustweave.plans.canonical import digest, dump
 from trustweave.plans.lens import Lens, SpecLens
 from trustweave.plans.manifest import Control, decode, encode
-from trustweave.sources.lake import Lake
+from trustweave.plans.plugins import DataContext, defaults, reads, settings
+from trustweave.sources.lake import Conflict, Lake
 
 TITLE = OntologyClass("Title", (Slot("title", required=True), Slot("year", "integer")), abstract=True)
 MOVIE = OntologyClass("Movie", (Slot("movie_id", identifier=True), Slot("director", "Person", reference=DirectRef("Person"))), is_a="Title", overrides={"year": {"minimum": 1888}})
@@ -124,16 +128,120 @@ def test_execution_skips_and_records_failures():
     assert bad.status == "failed" and "ZeroDivisionError" in bad.error and states == ["running", "failed"]
 
 
-def test_impact_and_diff():
-    derived = OntologyClass("Movie", (*MOVIE.slots, Slot("by", derivation=X.ScalarDerivation(X.path("Movie", "director", "name")))), is_a="Title", overrides=MOVIE.overrides, constraints={"old": X.path("Movie", "year") > 1888})
-    spec = Spec((derived, TITLE, PERSON), SPEC.sources)
-    assert lineage.impact(spec, "rename_slot", "Person", "name") == ["slot:Movie.by"]
-    assert "constraint:Movie.old" in lineage.impact(spec, "change_range", "Title", "year")
-    assert "slot:Movie.by" in lineage.impact(spec, "remove_class", "Person")
-    assert lineage.impact(spec, "remove_source", source="imdb") == ["class:Movie"]
+DERIVED = OntologyClass("Movie", (*MOVIE.slots, Slot("by", derivation=X.ScalarDerivation(X.path("Movie", "director", "name")))), is_a="Title", overrides=MOVIE.overrides, constraints={"old": X.path("Movie", "year") > 1888})
+RICH = Spec((DERIVED, TITLE, PERSON), SPEC.sources)
+
+
+def test_impact_by_edit():
+    def refs(*args, **names):
+        return lineage.impact(RICH, *args, **names).refs
+
+    assert refs("rename_slot", "Person", "name") == ("slot:Movie.by",)
+    assert lineage.impact(RICH, "delete_slot", "Person", "name").classes == ("Movie", "Person")
+    assert "constraint:Movie.old" in refs("change_range", "Title", "year")
+    assert "slot:Movie.by" in refs("remove_class", "Person")
+    assert refs("remove_source", source="imdb") == ("class:Movie", "constraint:Movie.old", "slot:Movie.by", "source:imdb")
+    assert "slot:Movie.by" in refs("change_trust", source="tmdb")
+    assert refs("add_slot", "Title", "runtime") == ("class:Movie", "source:imdb")
+    assert refs("add_slot", "Title", "movie_id") == ()  # the descendant has one of its own
+    assert refs("add_constraint", "Title") == ("class:Movie",)
+    assert refs("add_class", "Podcast") == () and "class:Movie" in refs("add_class", "Podcast", parent="Title")
+    assert lineage.impact(RICH, "add_class", "Podcast", parent="Title").classes == ("Podcast", "Title")
+    lost = lineage.impact(RICH, "change_superclass", "Movie", parent="Person")
+    assert "constraint:Movie.old" in lost.refs and set(lost.classes) == {"Movie", "Person", "Title"}
+    assert "constraint:Movie.old" not in refs("change_superclass", "Person", parent="Title")
+    assert refs("add_derivation", "Person", "name") == ("slot:Movie.by",)
+    with pytest.raises(ModelError, match="did you mean 'rename_slot'"):
+        lineage.impact(RICH, "rename_slto", "Movie")
+    for wrong in (("add_class", "Movie"), ("delete_slot", "Movie"), ("delete_slot", "Movie", "nothing"), ("add_slot", "Movie"), ("remove_source",)):
+        with pytest.raises(ModelError):
+            lineage.impact(RICH, *wrong)
+
+
+def test_impact_on_implementations():
+    def bound(path, context):
+        return lineage.Bound("resolve", context.primary, path, tuple(reads(RICH, context)))
+
+    all_bound = [bound("m:movies", DataContext("Movie", X.path("Movie", "director", "name") == "x")), bound("m:people", DataContext("Person", project=("person_id",)))]
+    assert (None in {s for _, s in reads(RICH, DataContext("Movie"))}) and ("Person", "name") in reads(RICH, DataContext("Movie", X.path("Movie", "director", "name") == "x"))
+    hit = lambda *a, **k: lineage.impact(RICH, *a, **k, bound=all_bound)
+    assert hit("add_slot", "Movie", "budget").implementations == ("m:movies",) and hit("add_slot", "Movie", "budget").workflows == ("Movie",)
+    assert hit("delete_slot", "Person", "name").implementations == ("m:movies", "m:people")
+    assert hit("delete_slot", "Title", "year").implementations == ("m:movies",)
+    assert hit("add_class", "Book").implementations == ()
+    assert hit("add_source", "Person").workflows == ("Movie", "Person")
+
+
+def test_differences():
+    assert lineage.diff(SPEC, RICH) == [("added", "constraint:Movie.old"), ("added", "slot:Movie.by")]
+    assert [(c.kind, c.name) for c in lineage.changes(SPEC, RICH)] == [("constraint.added", "Movie.old"), ("slot.added", "Movie.by")]
+    other = Spec((MOVIE, replace(TITLE, slots=(Slot("title", description="said"), Slot("year", "float"))), PERSON), (replace(SPEC.sources[0], trust=0.3, location="/x"),))
+    got = [(c.kind, c.name) for c in lineage.changes(SPEC, other)]
+    assert got == [("slot.range", "Title.year"), ("slot.required", "Title.title"), ("source.removed", "tmdb"), ("source.trust", "imdb")]
+    assert lineage.changes(SPEC, SPEC) == []
+
+
+def test_what_is_said_about_a_model_changes_no_hash():
+    said = Spec((replace(MOVIE, description="films"), TITLE, PERSON), SPEC.sources, author="me", created_at="2024-01-01", label="x")
+    assert digest(said) == digest(SPEC)
     with pytest.raises(ModelError):
-        lineage.impact(spec, "no_such_edit", "Movie")
-    assert lineage.diff(SPEC, spec) == [("added", "constraint:Movie.old"), ("added", "slot:Movie.by")]
+        compiler.check(Spec((replace(PERSON, identifier_pattern=("name", "nothing")),)))
+
+
+@settings(threshold=0.8, mode="strict")
+def declared(context, facts):
+    """A resolver with settings."""
+
+
+def test_declared_settings():
+    assert declared.threshold == 0.8 and defaults(declared) == {"threshold": 0.8, "mode": "strict"} and defaults(None) == {}
+    with pytest.raises(ModelError):
+        settings(settings=1)(declared)
+
+
+def test_revisions_workflows_and_traces(spark, tmp_path):
+    control = Control(Lake(spark, f"file:{tmp_path}/lake"))
+    control.save_spec(RICH)
+    here = f"{__name__}:declared"
+    assert control.bind("resolve", "Movie", here)["revision"] == 1
+    assert control.bind("resolve", "Movie", here)["revision"] == 1
+    with pytest.raises(ModelError):
+        control.bind("glue", "Movie", here)
+    with pytest.raises(ModelError, match="nothing is bound"):
+        control.configure("a:b", x=1)
+    with pytest.raises(ModelError, match="did you mean 'threshold'"):
+        control.configure(here, treshold=1)
+    assert control.configure(here, threshold=0.7)["revision"] == 1 and control.configure(here, threshold=0.7)["revision"] == 1
+    first = control.start_run("class:Movie", pins={"Person": "p"})
+    assert control.configure(here, mode="lax")["revision"] == 2
+    assert control.bind("resolve", "Movie", here, [("Person", "name")])["revision"] == 2
+    second = control.start_run("class:Movie")
+    assert control.settings(here) == {"threshold": 0.7, "mode": "lax"} and control.settings(here, 1) == {"threshold": 0.7}
+    assert control.implementation("resolve", "Movie", 1)["reads"] == [["Movie", None]]
+    assert [w["digest"] for w in control.workflows()] == [second.workflow.digest, first.workflow.digest]
+    assert control.workflows()[0]["n_stages"] == len(control.workflow(second.workflow.digest)["stages"]) == len(second.workflow.stages)
+    compiler.execute(first, {k: lambda s: None for k in compiler.KINDS}, set(), control.record)
+    trace = control.trace(first.run_id)
+    assert trace["run"]["status"] == "succeeded" and trace["pins"] == {"Person": "p"} and digest(trace["spec"]) == digest(RICH)
+    assert trace["settings"] == {here: {"threshold": 0.7}} and trace["implementations"]["resolve:Movie"]["revision"] == 1
+    assert [s["name"] for s in control.sources()] == ["imdb", "tmdb"]
+    assert control.impact("rename_slot", cls="Person", slot="name").implementations == (here,)
+    with pytest.raises(ModelError):
+        control.workflow("none")
+
+
+def test_no_change_of_two_writers_is_lost(spark, tmp_path):
+    lake = Lake(spark, f"file:{tmp_path}/lake")
+    control = Control(lake)
+    control.save_spec(SPEC)
+    number, state = lake.read_state("control")
+    lake.write_state("control", state, number)
+    with pytest.raises(Conflict):
+        lake.write_state("control", state, number)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: control.decide("merge", "Movie", f"a{i}", "b"), range(12)))
+    assert sorted(d["a"] for d in control.decisions("Movie")) == sorted(f"a{i}" for i in range(12))
+    assert len(lake.json_names("control")) <= 10
 
 
 def test_control(spark, tmp_path):

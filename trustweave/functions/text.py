@@ -142,3 +142,8 @@ def long_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
 def token_sort_similarity(a: Column, b: Column) -> Column:
     """Similarity whatever the order of words."""
     return similarity(sorted_tokens(a), sorted_tokens(b))
+
+
+def json_length(c: Column) -> Column:
+    """How many elements a JSON array in a text has; 0 for null and for a text that is no array."""
+    return F.coalesce(F.json_array_length(c), F.lit(0))

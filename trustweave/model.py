@@ -46,6 +46,7 @@ class TypeDef:
     name: str
     base: str
     pattern: str | None = None
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,7 @@ class Slot:
     policy: Policy = Policy.ARGMAX_TRUST
     reference: Reference | None = None
     derivation: Any = None
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,7 @@ class OntologyClass:
     #: Conditions that every row must satisfy, by rule name.
     constraints: dict[str, Any] = field(default_factory=dict, hash=False)
     unique_keys: tuple[tuple[str, ...], ...] = ()
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -140,6 +143,9 @@ class Spec:
     classes: tuple[OntologyClass, ...]
     sources: tuple[Source, ...] = ()
     types: tuple[TypeDef, ...] = ()
+    author: str = ""
+    label: str = ""
+    created_at: str = ""
 
     def __post_init__(self) -> None:
         for kind, names in (("class", [c.name for c in self.classes]), ("source", [s.name for s in self.sources]), ("type", [t.name for t in self.types])):

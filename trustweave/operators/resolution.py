@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustweave.functions import text
-from trustweave.model import ModelError
+from trustweave.model import ModelError, Spec
 from trustweave.operators.components import components
 
 #: Names of the columns of scored pairs.
@@ -157,3 +158,20 @@ def reconcile(clusters: DataFrame, prior: DataFrame) -> DataFrame:
     fresh = F.concat(F.lit("c_"), F.substring(F.sha2(F.col("_least").cast("string"), 256), 1, 16))
     new_id = F.when(outcome == "new", fresh).when((outcome == "kept") | ((outcome == "split") & (F.col("cluster") == F.col("_first"))), F.col("_one"))
     return known.select("cluster", "prior_ids", outcome.alias("outcome"), new_id.alias("canonical_id"))
+
+
+def identified(spec: Spec, cls: str, rows: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
+    """Rows of a class with an identifier pattern, and the entity_class and entity_key that each identifies.
+
+    The pattern names the slot with an entity's class and the slot with its key. ``entities`` has the rows of classes by
+    name; descendants are classes of their own. A row whose class or key is null or not there has a null entity_key.
+    Keys are compared as texts, as classes may have keys of several types.
+    """
+    pattern = spec.cls(cls).identifier_pattern
+    if pattern is None:
+        raise ModelError(f"class {cls!r} has no identifier pattern")
+    keys = [d.select(F.lit(name).alias("_class"), F.col(spec.identifier(name).name).cast("string").alias("entity_key")) for name, d in entities.items()]
+    known = reduce(DataFrame.unionByName, keys).where("entity_key IS NOT NULL").distinct()
+    kind, key = (F.col(f"_rows.`{p}`") for p in pattern)
+    on = (kind.cast("string") == F.col("_class")) & (key.cast("string") == F.col("entity_key"))
+    return rows.alias("_rows").join(known, on, "left").select("_rows.*", kind.alias("entity_class"), "entity_key")

@@ -31,17 +31,26 @@ def with_trust(rows: DataFrame, spec: Spec, slot: str | None = None) -> DataFram
     return rows.withColumn("trust", weight)
 
 
-def _known(slot: str, *order: str) -> Column:
+def slot_weight(spec: Spec, slot: str) -> Column:
+    """A row's trust, but its source's weight for the slot where the model gives one."""
+    weight = F.col("trust")
+    for s in spec.sources:
+        if slot in s.slot_trust:
+            weight = F.when(F.col("source") == s.name, F.lit(float(s.slot_trust[slot]))).otherwise(weight)
+    return weight.alias("trust")
+
+
+def _known(slot: str, *order: str | Column) -> Column:
     """An order over the rows where the slot has a value; null elsewhere, which max_by passes over."""
     return F.when(F.col(slot).isNotNull(), F.struct(*order, slot))
 
 
-def _single(slot: str, policy: Policy) -> Column:
+def _single(slot: str, policy: Policy, weight: str | Column = "trust") -> Column:
     match policy:
         case Policy.ARGMAX_TRUST:
-            return F.max_by(slot, _known(slot, "trust", "asserted_at", "source"))
+            return F.max_by(slot, _known(slot, weight, "asserted_at", "source"))
         case Policy.LATEST_WATERMARK:
-            return F.max_by(slot, _known(slot, "asserted_at", "trust", "source"))
+            return F.max_by(slot, _known(slot, "asserted_at", weight, "source"))
         case Policy.MEDIAN_NUMERIC:
             return F.median(slot)
         case Policy.UNIQUE_OR_FAIL:
@@ -49,9 +58,9 @@ def _single(slot: str, policy: Policy) -> Column:
     raise ModelError(f"{policy.value} takes two steps")
 
 
-def _voted(rows: DataFrame, slot: str, policy: Policy, multivalued: bool) -> DataFrame:
+def _voted(rows: DataFrame, slot: str, policy: Policy, multivalued: bool, weight: str | Column = "trust") -> DataFrame:
     """Two-level votes: by value, then the value with most; of a multivalued slot all elements with most."""
-    rows = rows.select(ID, "trust", (F.explode(slot) if multivalued else F.col(slot)).alias(slot)).where(F.col(slot).isNotNull())
+    rows = rows.select(ID, weight, (F.explode(slot) if multivalued else F.col(slot)).alias(slot)).where(F.col(slot).isNotNull())
     by_value = rows.groupBy(ID, slot).agg(
         (F.count("*") if policy is Policy.MODE else F.round(F.sum("trust"), 9)).alias("_votes"), F.max("trust").alias("_trust")
     )
@@ -79,6 +88,8 @@ def resolve(rows: DataFrame, slot: str, policy: Policy = Policy.ARGMAX_TRUST, mu
 def resolve_class(rows: DataFrame, spec: Spec, cls: str, slots: list[str] | None = None, strict: bool = True) -> DataFrame:
     """All slots of a class, each by its policy: one aggregation for all that take one step, one more for each vote.
 
+    A source's weight for a slot, where the model gives one, counts instead of the row's trust.
+
     Without ``strict`` a slot that must be unique is null where sources disagree.
     """
     wanted = [s for s in spec.slots(cls) if s.derivation is None and s.name in rows.columns and (slots is None or s.name in slots)]
@@ -88,10 +99,10 @@ def resolve_class(rows: DataFrame, spec: Spec, cls: str, slots: list[str] | None
         if strict and s.policy is Policy.UNIQUE_OR_FAIL:
             resolve(rows, s.name, s.policy)
     votes = [s for s in wanted if s.policy in (Policy.MODE, Policy.WEIGHTED_VOTE)]
-    plain = [_single(s.name, s.policy).alias(s.name) for s in wanted if s not in votes]
+    plain = [_single(s.name, s.policy, slot_weight(spec, s.name)).alias(s.name) for s in wanted if s not in votes]
     made = rows.groupBy(ID).agg(*plain) if plain else rows.select(ID).distinct()
     for s in votes:
-        made = made.join(_voted(rows, s.name, s.policy, s.multivalued), ID, "left")
+        made = made.join(_voted(rows, s.name, s.policy, s.multivalued, slot_weight(spec, s.name)), ID, "left")
     return made.select(ID, *[s.name for s in wanted])
 
 

@@ -9,8 +9,10 @@ from enum import Enum
 from typing import Any
 
 VERSION = 1
-#: Fields that say where rows come from or how they run, and not what they mean.
-RUNTIME = ("location",)
+#: Fields, by type, that say where rows come from, or something about the model, and not what it means.
+RUNTIME = frozenset(
+    [("Source", "location"), *[(t, "description") for t in ("OntologyClass", "Slot", "TypeDef")], *[("Spec", f) for f in ("author", "label", "created_at")]]
+)
 
 
 def plain(value: Any, _open: tuple[int, ...] = ()) -> Any:
@@ -22,7 +24,7 @@ def plain(value: Any, _open: tuple[int, ...] = ()) -> Any:
         for f in fields(value):
             v = getattr(value, f.name)
             default = f.default if f.default is not MISSING else f.default_factory() if f.default_factory is not MISSING else MISSING
-            if f.name in RUNTIME or (default is not MISSING and type(v) is type(default) and not is_dataclass(v) and v == default):
+            if (type(value).__name__, f.name) in RUNTIME or (default is not MISSING and type(v) is type(default) and not is_dataclass(v) and v == default):
                 continue
             out[f.name] = plain(v, (*_open, id(value)))
         return out

@@ -70,6 +70,8 @@ def class_dependencies(spec: Spec) -> dict[str, set[str]]:
 def check(spec: Spec) -> None:
     """Everything that can be refused before any data is read."""
     for c in spec.classes:
+        for name in c.identifier_pattern or ():
+            spec.slot(c.name, name)
         for s in spec.slots(c.name):
             spec.base_type(s)
             if s.derivation is None:

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustweave import expr as X
-from trustweave.model import DirectRef, DiscriminatedRef, ModelError, PolymorphicRef, Spec
-from trustweave.plans.canonical import dump
+from trustweave.model import DirectRef, DiscriminatedRef, ModelError, Policy, PolymorphicRef, Spec
+from trustweave.plans.canonical import RUNTIME, dump
 
 #: Edits whose impact can be asked for. Fixed values.
 EDITS = (
-    "rename_class", "remove_class", "rename_slot", "remove_slot", "change_range",
-    "change_policy", "change_cardinality", "add_constraint", "remove_source", "change_trust",
+    "rename_slot", "add_slot", "delete_slot", "change_resolution_policy", "add_class", "remove_class", "rename_class",
+    "change_superclass", "add_source", "add_derivation",
 )
+#: More edits, which only this engine names.
+MORE_EDITS = ("change_range", "change_cardinality", "add_constraint", "remove_source", "change_trust")
+#: Policies in which trust never counts.
+UNWEIGHED = (Policy.MEDIAN_NUMERIC, Policy.UNIQUE_OR_FAIL)
 
 
 @dataclass(frozen=True, order=True)
@@ -80,22 +84,48 @@ def references(spec: Spec) -> set[Ref]:
     return found
 
 
-def impact(spec: Spec, edit: str, cls: str | None = None, slot: str | None = None, source: str | None = None) -> list[str]:
-    """What an edit touches, in order of name: whatever refers to the class or slot, directly or through what it touches."""
-    if edit not in EDITS:
-        raise ModelError(f"unknown edit {edit!r}")
-    refs = references(spec)
-    if source is not None:
-        s = spec.source(source)
-        return sorted({f"class:{c}" for c in {s.entity, *[x for x in s.routes.values() if x]}})
-    if cls is None:
-        raise ModelError(f"{edit} names a class")
-    spec.cls(cls)
-    if slot is not None:
-        spec.slot(cls, slot)
-    kin = {c.name for c in spec.classes if spec.is_kind_of(c.name, cls)}
-    todo = {(c, slot) for c in kin}
-    found: set[str] = {f"class:{c}" for c in kin - {cls}}
+@dataclass(frozen=True)
+class Bound:
+    """An implementation: the kind of stage and the class it is bound to, its path, and the (class, slot) that it reads."""
+
+    kind: str
+    cls: str
+    path: str
+    reads: tuple[tuple[str, str | None], ...] = ()
+
+
+@dataclass(frozen=True)
+class Impact:
+    """What an edit touches, each in order of name: classes, what refers to them, implementations and their classes."""
+
+    classes: tuple[str, ...]
+    refs: tuple[str, ...]
+    implementations: tuple[str, ...] = ()
+    workflows: tuple[str, ...] = ()
+
+
+def impact(
+    spec: Spec,
+    edit: str,
+    cls: str | None = None,
+    slot: str | None = None,
+    source: str | None = None,
+    parent: str | None = None,
+    bound: Iterable[Bound] = (),
+) -> Impact:
+    """What an edit of a model touches.
+
+    Edits of a slot touch it in the class and its descendants, and all that reads it, directly or through derived slots.
+    A new slot is read by nothing yet, but changes the tables of the class, of descendants without one of that name, and
+    of what feeds them. A new class touches its parent, whose queries cover it; another parent takes away the slots that
+    came from the old one. Sources touch the slots they fill; another trust only those whose policy weighs it.
+    An implementation is touched if it reads one of the classes, or anything that is touched itself.
+    """
+    if edit not in EDITS + MORE_EDITS:
+        hint = suggest(edit, EDITS + MORE_EDITS)
+        raise ModelError(f"unknown edit {edit!r}" + (f"; did you mean {hint!r}?" if hint else ""))
+    classes, start, found = _edited(spec, edit, cls, slot, source, parent)
+    refs, reached, todo = references(spec), set(start), set(start)
     while todo:
         at = todo.pop()
         for r in refs:
@@ -104,8 +134,85 @@ def impact(spec: Spec, edit: str, cls: str | None = None, slot: str | None = Non
                 kind, _, name = r.by.partition(":")
                 if kind == "slot":
                     owner, _, own = name.partition(".")
-                    todo.add((owner, own))
-    return sorted(found)
+                    new = {(c, own) for c in spec.descendants(owner)} - reached
+                    reached |= new
+                    todo |= new
+    owners = {c for c, s in reached if s is not None}
+    hit = [b for b in bound if any(c in classes or (c, s) in reached or s is None and c in owners for c, s in b.reads)]
+    return Impact(tuple(sorted(classes | owners)), tuple(sorted(found)), tuple(sorted({b.path for b in hit})), tuple(sorted({b.cls for b in hit})))
+
+
+def _edited(spec: Spec, edit: str, cls: str | None, slot: str | None, source: str | None, parent: str | None) -> tuple[set[str], set[tuple[str, str | None]], set[str]]:
+    """The classes that an edit names, the (class, slot) whose readers it touches, and what it touches itself."""
+    if edit in ("remove_source", "change_trust"):
+        if source is None:
+            raise ModelError(f"{edit} names a source")
+        s = spec.source(source)
+        fed = {s.entity, *[c for c in s.routes.values() if c]}
+        filled = {(c, x.name) for c in fed for x in spec.slots(c) if x.derivation is None and not (edit == "change_trust" and x.policy in UNWEIGHED)}
+        return fed, filled, {f"class:{c}" for c in fed}
+    if cls is None:
+        raise ModelError(f"{edit} names a class")
+    if edit == "add_class":
+        if spec.is_class(cls):
+            raise ModelError(f"there is a class {cls!r}")
+        return {cls} | ({parent} if parent else set()), {(spec.cls(parent).name, None)} if parent else set(), set()
+    spec.cls(cls)
+    kin = set(spec.descendants(cls))
+    below = {f"class:{c}" for c in kin - {cls}}
+    feeds = lambda classes: {f"source:{s.name}" for s in spec.sources if classes & {s.entity, *s.routes.values()}}
+    match edit:
+        case "add_slot":
+            if slot is None:
+                raise ModelError("add_slot names a slot")
+            plain = {c for c in kin if c == cls or all(s.name != slot for s in spec.cls(c).slots)}
+            return plain, set(), {f"class:{c}" for c in plain - {cls}} | feeds(plain)
+        case "add_source":
+            return {cls}, {(cls, s.name) for s in spec.slots(cls) if s.derivation is None}, {f"class:{cls}"}
+        case "add_constraint":
+            return kin, set(), below
+        case "remove_class" | "rename_class":
+            return kin, {(c, None) for c in kin}, below
+        case "change_superclass":
+            left = {s.name for s in spec.slots(parent)} if parent else set()
+            own = {c: {s.name for a in spec.chain(c) if cls in {x.name for x in spec.chain(a.name)} for s in a.slots} for c in kin}
+            lost = {(c, s.name) for c in kin for s in spec.slots(c) if s.name not in left | own[c]}
+            named = {x for x in (spec.cls(cls).is_a, parent) if x}
+            return kin | named, lost | {(x, None) for x in named}, below
+    if slot is None:
+        raise ModelError(f"{edit} names a slot")
+    spec.slot(cls, slot)
+    return kin, {(c, slot) for c in kin}, below
+
+
+@dataclass(frozen=True)
+class Change:
+    """A part of a model that differs: its kind (``slot.added``, ``slot.range``, ``class.is_a``), name, and canonical texts."""
+
+    kind: str
+    name: str
+    before: str | None
+    after: str | None
+
+
+def changes(old: Spec, new: Spec) -> list[Change]:
+    """All differences field by field, in order of kind and name; what is only said about the model is no difference."""
+
+    def parts(spec: Spec) -> dict[tuple[str, str], dict[str, str]]:
+        look = lambda kind, x, but: {f.name: dump(getattr(x, f.name)) for f in fields(x) if f.name not in but and (kind, f.name) not in RUNTIME}
+        out = {}
+        for c in spec.classes:
+            out["class", c.name] = look("OntologyClass", c, ("name", "slots", "constraints"))
+            out |= {("slot", f"{c.name}.{s.name}"): look("Slot", s, ("name",)) for s in c.slots}
+            out |= {("constraint", f"{c.name}.{k}"): {"body": dump(v)} for k, v in c.constraints.items()}
+        out |= {("source", s.name): look("Source", s, ("name",)) for s in spec.sources}
+        return out | {("type", t.name): look("TypeDef", t, ("name",)) for t in spec.types}
+
+    a, b = parts(old), parts(new)
+    made = [Change(f"{k}.removed", n, None, None) for k, n in a.keys() - b.keys()] + [Change(f"{k}.added", n, None, None) for k, n in b.keys() - a.keys()]
+    for k, n in a.keys() & b.keys():
+        made += [Change(f"{k}.{f}", n, v, b[k, n][f]) for f, v in a[k, n].items() if v != b[k, n][f]]
+    return sorted(made, key=lambda c: (c.kind, c.name))
 
 
 def diff(old: Spec, new: Spec) -> list[tuple[str, str]]:

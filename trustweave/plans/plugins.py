@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trustweave import expr as X
 from trustweave.model import ModelError, Spec
 from trustweave.operators.resolution import Scored
+from trustweave.plans.lineage import expression_refs
 from trustweave.plans.lowering import Graph
 
 
@@ -64,6 +65,36 @@ def load(path: str) -> Callable[..., Any]:
     return found
 
 
+def settings(**values: Any) -> Callable[[Callable[..., Any]], Callable[..., Any]]:
+    """Declare a plug-in's settings with their defaults; each can also be read as an attribute of the plug-in."""
+
+    def put(fn: Callable[..., Any]) -> Callable[..., Any]:
+        taken = [k for k in values if hasattr(fn, k)]
+        if taken:
+            raise ModelError(f"a function has {taken[0]!r} already")
+        fn.settings = dict(values)  # type: ignore[attr-defined]
+        for k, v in values.items():
+            setattr(fn, k, v)
+        return fn
+
+    return put
+
+
+def defaults(plugin: Callable[..., Any] | None) -> dict[str, Any]:
+    """The settings that a plug-in declares; none for one that declares nothing."""
+    return dict(getattr(plugin, "settings", {}))
+
+
+def reads(spec: Spec, context: DataContext) -> set[tuple[str, str | None]]:
+    """The (class, slot) names that a context reads; the class alone stands for its whole rows."""
+    found: set[tuple[str, str | None]] = set()
+    for cls in (context.primary,) if isinstance(context.primary, str) else context.primary:
+        found |= {(cls, name) for name in context.project} | {(cls, None)}
+    for n in [*([context.where] if context.where is not None else []), *context.include.values()]:
+        found |= {(r.cls, r.slot) for r in expression_refs(spec, n, "")}
+    return found
+
+
 def fulfil(graph: Graph, context: DataContext, config: dict[str, Any] | None = None) -> dict[str, DataFrame]:
     """A DataFrame for each class that a context names; errors are raised, never turned into other data."""
     classes = (context.primary,) if isinstance(context.primary, str) else context.primary

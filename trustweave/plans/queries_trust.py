@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,19 @@ def trust_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.resolve_class(contributions(spark, sf_dir), SPEC, "Part")
 
 
+@query(
+    "trust_slot_override",
+    f"""
+    WITH {ROWS}, weighed AS (SELECT * REPLACE (CASE source WHEN 'A' THEN 0.1::DOUBLE ELSE trust END AS trust) FROM rows)
+    SELECT canonical_id, {ARGMAX} AS discount, arg_max(tax, row(asserted_at, trust, source, tax)) AS tax FROM weighed GROUP BY canonical_id
+    """,
+)
+def trust_slot_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source A counts least for two slots, whatever it counts for others."""
+    spec = replace(SPEC, sources=tuple(replace(s, slot_trust={"discount": 0.1, "tax": 0.1}) if s.name == "A" else s for s in SPEC.sources))
+    return trust.resolve_class(contributions(spark, sf_dir), spec, "Part", ["discount", "tax"])
+
+
 @query(
     "unique_or_fail_offenders",
     f"""

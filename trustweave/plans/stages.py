@@ -19,7 +19,7 @@ from trustweave.model import ModelError, Spec
 from trustweave.operators import graph, normalize, quality, resolution, temporal, trust
 from trustweave.plans.compiler import LENS_TABLE, Run, Stage, Workflow, execute
 from trustweave.plans.lowering import Graph
-from trustweave.plans.plugins import RunContext, load
+from trustweave.plans.plugins import RunContext, defaults, load
 from trustweave.sources.lake import Lake
 
 BINDINGS = "row_id string, canonical_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, run_id string, change_type string"
@@ -48,7 +48,8 @@ class Build:
         return load(found) if isinstance(found, str) else found
 
     def context(self, run: str, stage: Stage) -> RunContext:
-        return RunContext(run, self.spec, stage.cls, stage.name, self.config.get(f"{stage.kind}:{stage.cls}", {}), self.lake.spark)
+        settings = {**defaults(self.plugin(stage.kind, stage.cls)), **self.config.get(f"{stage.kind}:{stage.cls}", {})}
+        return RunContext(run, self.spec, stage.cls, stage.name, settings, self.lake.spark)
 
     def read(self, lens: str, cls: str) -> DataFrame:
         """The table that a lens reads: facts by source, all sources together, or resolved facts."""
@@ -79,7 +80,7 @@ class Build:
             fresh = rows.select("row_id", F.col("src_key").alias("canonical_id"))
         else:
             scored = resolver(self.context(run, stage), facts=facts)
-            links = resolution.decide(scored.frame(), self.config.get(f"resolve:{stage.cls}", {}).get("threshold", 0.9))
+            links = resolution.decide(scored.frame(), self.context(run, stage).config.get("threshold", 0.9))
             fresh = resolution.cluster(rows, links).select("row_id", F.col("cluster").alias("canonical_id"))
         name = f"bindings/{stage.cls}"
         old = self.lake.read(name) if self.lake.exists(name) else self.lake.spark.createDataFrame([], BINDINGS)
@@ -115,12 +116,12 @@ class Build:
 
     def run(self, run_id: str, workflow: Workflow) -> Run:
         """Run what is not done; the keys of finished stages and the state of the run are kept in the lake."""
-        finished: set[str] = set(self.lake.read_json("control/finished", []))
+        finished = set(self.lake.json_names("control/finished"))
 
         def handler(kind: Callable[[str, Stage], None]) -> Callable[[Stage], None]:
             def handle(stage: Stage) -> None:
                 kind(run_id, stage)
-                self.lake.write_json("control/finished", sorted({*self.lake.read_json("control/finished", []), stage.key}))
+                self.lake.write_json(f"control/finished/{stage.key}", {"run": run_id, "stage": stage.name})
 
             return handle
 

@@ -8,21 +8,29 @@ import time
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trustweave.model import ModelError
 
+#: Compression codecs. Fixed values.
 CODECS = ("snappy", "zstd", "gzip", "lz4", "uncompressed")
 #: Writers of the newest version keep so many versions before it.
 KEEP = 2
+#: So many numbered states are kept, and a claim of a writer counts for so many seconds.
+KEEP_STATES, CLAIM_S = 10, 60
+
+
+class Conflict(ModelError):
+    """Another writer was first."""
 
 
 class _Files:
     """The file system of a path, by way of Hadoop, so that any store that Spark reads will do."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.jvm = spark.sparkContext._jvm
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         self.fs = self.path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, p: str) -> Any:
@@ -38,14 +46,40 @@ class _Files:
         self.fs.delete(self.path(p), True)
 
     def write(self, p: str, text: str) -> None:
-        """Written beside its place and then moved there."""
+        """Written beside its place and then moved there, over what is there, in one step where the store has one."""
+        beside = self._beside(p, text)
+        over = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = over
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(beside, self.path(p), options)
+
+    def write_new(self, p: str, text: str) -> bool:
+        """Written only where nothing is; whether it was."""
+        beside = self._beside(p, text)
+        if not self.exists(p) and self.fs.rename(beside, self.path(p)):
+            return True
+        self.fs.delete(beside, False)
+        return False
+
+    def _beside(self, p: str, text: str) -> Any:
         beside = self.path(f"{p}.{uuid.uuid4().hex}")
         out = self.fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if not self.fs.rename(beside, self.path(p)):  # where a file is there already
-            self.fs.delete(self.path(p), False)
-            self.fs.rename(beside, self.path(p))
+        return beside
+
+    def claim(self, p: str) -> bool:
+        """Make an empty file; False if it is there and no older than a claim counts."""
+        try:
+            self.fs.create(self.path(p), False).close()
+            return True
+        except Py4JJavaError as e:
+            if not any(said in str(e) for said in ("AlreadyExists", "AlreadyBeingCreated")):
+                raise
+        held = self.fs.globStatus(self.path(p))  # empty where it has gone in between
+        if held and time.time() - held[0].getModificationTime() / 1000 > CLAIM_S:
+            self.delete(p)
+        return False
 
     def read(self, p: str) -> str:
         stream = self.fs.open(self.path(p))
@@ -183,6 +217,32 @@ class Lake:
         path = f"{self._table(name)}.json"
         return json.loads(self.files.read(path)) if self.files.exists(path) else default
 
+    def json_names(self, folder: str) -> list[str]:
+        """The names, without their ending, of the values in a folder."""
+        return [n.removesuffix(".json") for n in self.files.names(self._table(folder)) if n.endswith(".json")]
+
+    def read_state(self, name: str, default: Any = None) -> tuple[int, Any]:
+        """The newest of a value's numbered states, with its number; 0 and the default if there is none."""
+        numbers = [n for n in self.json_names(name) if n.isdigit()]
+        return (int(numbers[-1]), json.loads(self.files.read(f"{self._table(name)}/{numbers[-1]}.json"))) if numbers else (0, default)
+
+    def write_state(self, name: str, value: Any, after: int) -> None:
+        """The state that follows the one numbered ``after``; a Conflict if that is no longer the newest.
+
+        Two writers are told apart by a store that creates a file only once, as HDFS does. Local folders look first and
+        create then, so two processes that write within the same instant may both go on there.
+        """
+        folder, number = self._table(name), f"{after + 1:012d}"
+        if not self.files.claim(f"{folder}/{number}.claim"):
+            raise Conflict(f"{name}: another writer is at {number}")
+        try:
+            if self.read_state(name)[0] != after or not self.files.write_new(f"{folder}/{number}.json", json.dumps(value, indent=1, sort_keys=True)):
+                raise Conflict(f"{name}: {after} is no longer the newest")
+        finally:
+            self.files.delete(f"{folder}/{number}.claim")
+        for old in [n for n in self.json_names(name) if n.isdigit()][:-KEEP_STATES]:
+            self.files.delete(f"{folder}/{old}.json")
+
 
 def create_view(df: DataFrame, name: str, replace: bool = True) -> None:
     df.createOrReplaceTempView(name) if replace else df.createTempView(name)

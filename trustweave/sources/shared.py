@@ -20,15 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/trustweave-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # only what is there can be marked
+    files.deleteOnExit(target)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives a lost executor.
 
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trustweave-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/rows"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

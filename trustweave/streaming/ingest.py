@@ -15,8 +15,12 @@ def ingest(spark: SparkSession, path: str, kind: str, schema: T.StructType, targ
     """
     stream = spark.readStream.schema(schema).options(**options).format(kind).load(path)
     query = change(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    rows: dict[int, int] = {}  # Spark keeps the reports of the last batches only, so they are gathered as it goes
+    done = False
+    while not done:
+        done = query.awaitTermination(1)
+        rows |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress if p["numInputRows"]}
+    return sum(rows.values())
 
 
 def latest_per_key(spark: SparkSession, path: str, schema: T.StructType, key: str, moment: str, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
