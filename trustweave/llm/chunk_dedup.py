@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustweave.llm.common import join_hot, partitions, slices, small, stored, total_bytes
+from trustweave.llm.common import dropped, join_hot, partitions, slices, small, stored, total_bytes
 from trustweave.llm.suffix_dedup import dealt, home_of, unpack
 from trustweave.llm.winnowing import mix
 
@@ -226,31 +226,39 @@ def runs(docs: DataFrame, n: int, average: int, min_chunk: int, max_chunk: int,
     return sent.repartition(n, "home").mapInArrow(gather, RUN)
 
 
-AROUND = "doc long, start long, length long, size long, digest binary, before binary, after binary"
+SPANS = "doc long, start long, length long, blocks int, keep_doc long, keep_start long"
+AROUND = "doc long, start long, length long, blocks int, keep_doc long, keep_start long, n long, size long, digest binary, before binary, after binary"
 
 
 def surroundings(docs: DataFrame, places: DataFrame, n: int, reach: int) -> DataFrame:
-    """For each of the distinct places (doc, start, length): the text's size, the digest of these bytes, and those on either side."""
+    """The places (all columns of AROUND up to n) with the text's size, the digest of their bytes, and those on either side."""
     busy = small(stored(places.groupBy("doc").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("tasks")).where("tasks > 1")))
     tasks = F.coalesce("tasks", F.lit(1))
-    texts = docs.join(busy, "doc", "left").select("doc", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), "text")
-    asked = places.join(busy, "doc", "left").select("doc", F.pmod(F.xxhash64("start", "length"), tasks).cast("int").alias("task"), "start", "length", F.lit(None).cast("string").alias("text"))
+    names = places.columns
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in places.dtypes[3:]]
+    texts = docs.join(busy, "doc", "left").select(
+        "doc", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), *nothing, "text"
+    )
+    asked = places.join(busy, "doc", "left").select("doc", F.pmod(F.xxhash64("start", "length"), tasks).cast("int").alias("task"), *names[1:], F.lit(None).cast("string").alias("text"))
     both = texts.union(asked).repartition(n, "doc", "task").sortWithinPartitions("doc", "task", "start", "text")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, raw = None, b""
         for batch in slices(batches, "text"):
+            at: list[int] = []
             made: list[tuple] = []
-            for doc, task, start, length, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, (doc, task, start, length, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "task", "start", "length", "text")), strict=True)):
                 if start < 0:
                     if now != (doc, task):
                         now, raw = (doc, task), text.encode("utf-8", "surrogatepass")
                 else:
                     end = start + length
-                    made.append((doc, start, length, len(raw), hashlib.sha256(raw[start:end]).digest(), raw[max(0, start - reach) : start], raw[end : end + reach]))
-            columns = list(zip(*made, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in AROUND.split(", ")])
+                    at.append(row)
+                    made.append((len(raw), hashlib.sha256(raw[start:end]).digest(), raw[max(0, start - reach) : start], raw[end : end + reach]))
+            columns = list(zip(*made, strict=True)) or [()] * 4
+            kinds = [pa.int64(), *[pa.binary()] * 3]
+            same = batch.select(names).take(pa.array(at, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[f.split()[0] for f in AROUND.split(", ")])
 
     return both.mapInArrow(answer, AROUND)
 
@@ -286,15 +294,33 @@ def repeated_spans(
     n = max(partitions(df.sparkSession), total_bytes(docs, "text") // (8 << 20) + 1)
     found = stored(runs(docs, n, average, min_chunk, max_chunk, min_span, bits))
     keepers = stored(found.groupBy(F.col("keep_doc").alias("doc"), F.col("keep_start").alias("start"), "length").agg(F.count("*").alias("n")))
-    places = found.select("doc", "start", "length").union(keepers.select("doc", "start", "length")).distinct()
+    # What a run needs to know of its own document and of its keeper's is asked in one pass; a run's place has a keeper.
+    none = [F.lit(None).cast(kind) for kind in ("int", "long", "long")]
+    asked = found.select("doc", "start", "length", "blocks", "keep_doc", "keep_start", F.lit(None).cast("long").alias("n"))
+    places = asked.union(keepers.select("doc", "start", "length", *none, "n"))
     around = stored(surroundings(docs, places, n, reach))
-    own = found.join(around, ["doc", "start", "length"])
-    keep = keepers.join(around, ["doc", "start", "length"]).select(
+    dropped(found, keepers)
+    own = around.where("n is null").drop("n")
+    keep = around.where("n is not null").select(
         F.col("doc").alias("keep_doc"), F.col("start").alias("keep_start"), "length", "n", *[F.col(c).alias(f"keep_{c}") for c in ("size", "digest", "before", "after")]
     )
-    both = join_hot(stored(own), stored(keep), ["keep_doc", "keep_start", "length"], "n")
+    both = join_hot(own, keep, ["keep_doc", "keep_start", "length"], "n")
     columns = ("doc", "start", "length", "blocks", "keep_doc", "keep_start", "size", "before", "after", "keep_size", "keep_before", "keep_after")
-    same = both.where("digest = keep_digest").select(*columns).repartition(n, "doc").sortWithinPartitions("doc")
+
+    def rows(made: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in SPANS.split(", ")])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            for doc, start, length, times, keep_doc, keep_start, size, before, after, keep_size, keep_before, keep_after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left, right = grown((before, after), (keep_before, keep_after))
+                if left + length + right >= min_span or left + length + right == size == keep_size:
+                    made.append((doc, start - left, left + length + right, times, keep_doc, keep_start - left))
+            yield rows(made)
+
+    same = both.where("digest = keep_digest").select(*columns).mapInArrow(grow, SPANS).repartition(n, "doc").sortWithinPartitions("doc")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -316,23 +342,17 @@ def repeated_spans(
             held.clear()
             return kept
 
-        def rows(made: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names=["doc", "start", "length", "blocks", "keep_doc", "keep_start"])
-
         for batch in batches:
             made: list[tuple] = []
-            for doc, start, length, times, keep_doc, keep_start, size, before, after, keep_size, keep_before, keep_after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, right = grown((before, after), (keep_before, keep_after))
-                if held and held[-1][0] != doc:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
                     made += close()
-                if left + length + right >= min_span or left + length + right == size == keep_size:
-                    held.append((doc, start - left, left + length + right, times, keep_doc, keep_start - left))
+                held.append(row)
             yield rows(made)
         if held:
             yield rows(close())
 
-    made = same.mapInArrow(spans, "doc long, start long, length long, blocks int, keep_doc long, keep_start long")
+    made = same.mapInArrow(spans, SPANS)
     return made.select(F.col("doc").alias(id_col), "start", "length", "blocks", F.col("keep_doc").alias("keep_doc_id"), "keep_start")
 
 

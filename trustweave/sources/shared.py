@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +32,39 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that is run here go when it ends, not when the driver happens to collect its garbage."""
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, held)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, and survives a lost executor.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends, or by :func:`dropped`.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/rows"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`stored` has returned and that no later step reads."""
+    for df in tables:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
