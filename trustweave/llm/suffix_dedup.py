@@ -12,9 +12,10 @@ out first, and the others are sorted apart:
 1. Of the q-grams in a window, the one with the least hash is the window's anchor; equal windows have equal anchors, and
    successive windows with one form a stretch of some 18 windows (of all of them, where a text repeats a short phrase).
    Anchors that only one document has are settled.
-2. The bytes of the other stretches are sorted in each batch by itself, which settles repeats among its own texts, so that a
-   frequent stretch is sent once per batch. What is left goes to the task of its anchor, is sorted there with all others
-   of that anchor, and windows with one pointer go but for those of the least document.
+2. The bytes of the other stretches are settled in each batch by itself, so that a frequent stretch is sent once per
+   batch. What is left goes to the task of its anchor. Both times, stretches that equal one of a smaller document byte by
+   byte go first; the rest is sorted with all others of its anchor, and windows with one pointer go but for those of the
+   least document.
 
 What travels is packed columns. Documents are read again, shuffled once, to send stretches and to cut the bytes out. A
 task sorts some anchors' stretches at a time; those of one anchor stay together, so an anchor with many different
@@ -44,6 +45,8 @@ BATCH, PART = (2 << 20) - 1024, 1 << 20
 #: Anchors of all batches so far that a task sends at once, bytes of stretches that it sorts at once, the most that it can sort
 #: fast, and the most bytes of one anchor that it sorts together.
 FLUSH, SORTED, MOST, ONE = 400_000, 1 << 19, (2 << 20) - 512, 6 << 20
+#: Bytes of a stretch whose hash tells which others it is compared with.
+LOOKED = 128
 
 
 def first_words(raw: np.ndarray) -> np.ndarray:
@@ -169,14 +172,63 @@ def numbered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return made
 
 
-def gone_windows(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of stretches of ``count`` windows from ``begin`` on, the runs that repeat a smaller document: stretch, first window (in it) and how many."""
-    at, of = spread(begin, count), np.repeat(np.arange(len(begin)), count)
-    gone = np.flatnonzero(repeats(numbered(raw, at), doc[of]))
-    of, at = of[gone], (at - begin[of])[gone] if len(gone) else gone
-    new = np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)) if len(of) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    return of[first], at[first], np.diff(np.append(first, len(of)))
+def whole_repeats(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Stretches that equal, byte by byte, one of a smaller document among those that are not returned.
+
+    Hashes only say which to compare; what they miss is left to be sorted.
+    """
+    size = count + SPAN - 1
+    words = np.ndarray(max(0, len(raw) - 7), np.uint64, np.ascontiguousarray(raw), strides=(1,))
+    steps = range(0, min(int(size.max(initial=0)), LOOKED), 8)
+    key = mix(anchor ^ mix(count.astype(np.uint64)))
+    for at in steps:
+        key = mix(key ^ words[begin + np.minimum(at, size - 8)])
+    order = np.lexsort((doc, key))
+    new = np.append(True, key[order][1:] != key[order][:-1])[: len(order)]
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    maybe = (doc[order] > doc[lead]) & (count[order] == count[lead])
+    found, lead = order[maybe], lead[maybe]
+    for at in steps:
+        further = np.minimum(at, size[found] - 8)
+        same = words[begin[found] + further] == words[begin[lead] + further]
+        found, lead = found[same], lead[same]
+    same = np.ones(len(found), bool)
+    for k in np.flatnonzero(size[found] > LOOKED).tolist():
+        a, b, n = begin[found[k]], begin[lead[k]], size[found[k]]
+        same[k] = raw[a : a + n].tobytes() == raw[b : b + n].tobytes()
+    return found[same]
+
+
+def gone_windows(raw: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches of ``count`` windows from ``begin`` on, the runs that repeat a smaller document: stretch, first window (in it) and how many.
+
+    Stretches that as a whole equal one of a smaller document go without being sorted, and so stay those whose anchor no
+    other document has among the rest. All stretches of one anchor are sorted together.
+    """
+    whole = whole_repeats(raw, begin, count, doc, anchor)
+    rest = np.delete(np.arange(len(begin)), whole)
+    rest = rest[np.argsort(anchor[rest], kind="stable")]
+    first = np.flatnonzero(np.append(True, anchor[rest][1:] != anchor[rest][:-1])[: len(rest)])
+    many = np.diff(np.append(first, len(rest)))
+    if len(rest):
+        rest = rest[np.repeat(np.minimum.reduceat(doc[rest], first) < np.maximum.reduceat(doc[rest], first), many)]
+    made = [(whole, np.zeros(len(whole), np.int64), count[whole])]
+    if len(rest):
+        size = count + SPAN - 1
+        new = np.append(True, anchor[rest][1:] != anchor[rest][:-1])
+        # Anchors are taken together until they have enough bytes.
+        part = np.cumsum(size[rest]) // SORTED
+        part = part[np.flatnonzero(new)][np.cumsum(new) - 1]
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(rest)).tolist()
+        for which in (rest[a:b] for a, b in zip(edges, edges[1:], strict=False)):
+            start = np.cumsum(size[which]) - size[which]
+            at, of = spread(start, count[which]), np.repeat(np.arange(len(which)), count[which])
+            gone = np.flatnonzero(repeats(numbered(raw[spread(begin[which], size[which])], at), doc[which][of]))
+            if len(gone):
+                of, at = of[gone], (at - start[of])[gone]
+                run = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)))
+                made.append((which[of[run]], at[run], np.diff(np.append(run, len(of)))))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
 #: Packed columns on the way to an anchor's task (with the bytes of stretches, or none), or, if known, home.
@@ -271,18 +323,9 @@ def sort_anchors(n: int):
             raw = np.frombuffer(b"".join(pa.decompress(b, int(c[3].sum()) + len(c[3]) * (SPAN - 1), "zstd", asbytes=True) for (_, b), c in zip(some, columns, strict=True)), np.uint8)
             size = count + SPAN - 1
             begin = np.cumsum(size) - size
-            order = np.argsort(anchor, kind="stable")
-            new = np.append(True, anchor[order][1:] != anchor[order][:-1])
-            # Anchors are taken together until they have enough bytes.
-            part = np.cumsum(size[order]) // SORTED
-            part = part[np.flatnonzero(new)][np.cumsum(new) - 1]
-            for k in range(int(part[-1]) + 1):
-                which = order[part == k]
-                if len(which):
-                    of, at, many = gone_windows(raw[spread(begin[which], size[which])], np.cumsum(size[which]) - size[which], count[which], doc[which])
-                    of = which[of]
-                    if len(of):
-                        yield rows(FOUND, *dealt(home_of(doc[of], n), n, doc[of], start[of] + at, many))
+            of, at, many = gone_windows(raw, begin, count, doc, anchor)
+            if len(of):
+                yield rows(FOUND, *dealt(home_of(doc[of], n), n, doc[of], start[of] + at, many))
 
     return run
 
@@ -346,7 +389,7 @@ def repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             anchor, doc, start, count, begin = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2, 3, 5))
             raw, begin = np.concatenate([h[4] for h in held]), begin + shift
             held.clear()
-            of, at, many = gone_windows(raw, begin, count, doc)
+            of, at, many = gone_windows(raw, begin, count, doc, anchor)
             if len(of):
                 used, packed = dealt(home_of(doc[of], n), n, doc[of], start[of] + at, many)
                 yield rows(SENT, used, [True] * len(used), packed, [None] * len(used))
