@@ -8,11 +8,12 @@ document sends d + 1 of its parts: those with most shingles, in an order that de
 that a pair's equal part is sent by both. m follows from the size band of a document (sizes within a factor of 1.5), and
 a document whose partners may lie in the next band sends parts for that one as well.
 
-Equal parts meet; sizes are compared; then the sets themselves. Small groups (up to ``group_limit`` documents with one
-part) give pairs at once. In larger ones each member is held against the first; those that link with it are connected,
-and only the others still have to meet all members, in pairs of blocks, each a task of bounded size, that pass over pairs
-which are connected already and return links of a spanning forest only. Documents with equal sets count once in all
-this, and keys that many rows share are broadcast (:func:`join_hot`). No link between different sets is lost.
+Equal parts meet; sizes are compared; then parity sketches with parts of one bit, which rule out most pairs that don't
+link and none that do; then the sets themselves. Small groups (up to ``group_limit`` documents with one part) give pairs
+at once. In larger ones each member is held against the first; those that link with it are connected, and only the others
+still have to meet all members, in pairs of blocks, each a task of bounded size, that pass over pairs which are connected
+already and return links of a spanning forest only. Documents with equal sets count once in all this, and keys that many
+rows share are broadcast (:func:`join_hot`). No link between different sets is lost.
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z. Shingles and sets are compared by
 64-bit hashes, classes of equal sets by 128 bits.
@@ -243,18 +244,51 @@ def candidates(docs: DataFrame, size: int, bands: Bands, targets: int, group_lim
     return docs.mapInArrow(send, SENT).repartition(targets, "target").mapInArrow(meet, FOUND)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those stored pairs (a, b) whose sets link."""
+def bit_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set its size and, of at least twice as many bits as that, those that its shingles flip an odd number of times."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    width = np.array([1 << max(6, (2 * n - 1).bit_length()) for n in sizes.tolist()], np.int64)
+    first = np.cumsum(width) - width
+    odd = np.zeros(int(width.sum()), np.uint8)
+    if len(odd):
+        tokens = np.concatenate(sets)
+        np.bitwise_xor.at(odd, np.repeat(first, sizes) + (tokens & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64), np.uint8(1))
+    packed = np.packbits(odd)
+    return [n.to_bytes(8, "little") + packed[a : a + w].tobytes() for n, a, w in zip(sizes.tolist(), (first // 8).tolist(), (width // 8).tolist(), strict=True)]
+
+
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """False only for sets that don't link: they differ in at least as many shingles as their bit sketches in bits."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (a, b)), key=len)
+    n, a, b = int(a[0]) + int(b[0]), a[1:], b[1:]
+    while len(b) > len(a):  # half as many bits: those of places that now coincide, added
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (100 + percent) <= (100 - percent) * n
+
+
+def only(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of these documents (one column), so that others are not shuffled."""
+    return sets.join(small(docs.select(F.col(docs.columns[0]).alias("doc")).distinct()), "doc", "left_semi")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, column: str, keeps) -> DataFrame:
+    """Those stored pairs (a, b) for which ``keeps`` holds, given this column's bytes of both."""
     often = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    own = stored(sets.join(often, sets["doc"] == often["a"]).select("a", F.col("tokens").alias("a_tokens"), "_n"))
-    other = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
+    own = stored(sets.join(often, sets["doc"] == often["a"]).select("a", F.col(column).alias("a_held"), "_n"))
+    other = only(sets, pairs.select("b")).select(F.col("doc").alias("b"), F.col(column).alias("b_held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (map(lambda x: np.frombuffer(x, np.uint64), batch.column(k).to_pylist()) for k in (2, 3))
-            yield batch.filter(pa.array([linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())).select(["a", "b"])
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            yield batch.filter(pa.array([keeps(x, y) for x, y in both], pa.bool_())).select(["a", "b"])
+
+    return join_hot(pairs, own, ["a"], "_n", share=100).join(other, "b").select("a", "b", "a_held", "b_held").mapInArrow(run, "a long, b long")
 
-    return join_hot(pairs, own, ["a"], "_n", share=100).join(other, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those stored pairs (a, b) whose sets link: first by bit sketches, some twentieth of a set's bytes, which pass all that do."""
+    near = stored(compared(pairs, sets, "bits", lambda x, y: may_link(x, y, percent)))
+    return compared(near, sets, "tokens", lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
 
 
 def forest(docs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -301,7 +335,7 @@ def large_group_links(members: DataFrame, sets: DataFrame, percent: int, block:
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1))
     left = join_hot(others, dealt, ["key"], "r").select("key", of("r").alias("i"), all_of("n").alias("j"), F.lit(0).alias("own"), "doc")
     right = join_hot(members, dealt, ["key"], "n").select("key", all_of("r").alias("i"), of("n").alias("j"), F.lit(1).alias("own"), "doc")
-    keyed = left.union(right).join(sets, "doc")
+    keyed = left.union(right).join(only(sets, members.select("doc")), "doc")
     ordered = keyed.select("key", "i", "j", "own", "doc", "tokens").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +377,8 @@ def similar_groups(
     pairs = stored(found.where("not large").select("a", "b").distinct())
     members = found.where("large").select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).union(members.select("doc")).distinct())
-    sets = set_rows(left.join(small(wanted), "doc", "left_semi"), shingle, _tokens, "doc long, tokens binary")
-    sets = stored(sets.groupBy("doc").agg(F.min("tokens").alias("tokens")))
+    sets = set_rows(left.join(small(wanted), "doc", "left_semi"), shingle, _tokens, "doc long, tokens binary, bits binary")
+    sets = stored(sets.groupBy("doc").agg(F.min(F.struct("tokens", "bits")).alias("least")).select("doc", "least.*"))
     links = verified(pairs, sets, percent)
     if found.where("large").limit(1).count():
         links = links.union(large_group_links(members, sets, percent, block))
@@ -355,4 +389,4 @@ def similar_groups(
 
 
 def _tokens(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
+    return pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bit_sketches(sets), pa.binary())], names=["doc", "tokens", "bits"])
